@@ -172,3 +172,73 @@ def lists(values: np.ndarray, lens: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(lens) + 1, dtype=np.int32)
     np.cumsum(lens, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of fixed-width values, all first bytes first: like bytes lie together, so a shuffle compresses them."""
+    width = values.dtype.itemsize
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def unplanes(blobs: list, kind: type) -> np.ndarray:
+    """The values of several blobs made by planes, one after the other."""
+    width = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel() for b in blobs]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+
+
+def packed(bucket: np.ndarray, columns: list[np.ndarray], extra: list[pa.Array] | None = None) -> pa.RecordBatch:
+    """A row for each bucket: its number and, for each column, a blob of its values."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    head = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, dtype=np.int64)
+    bounds = [*head.tolist(), len(bucket)]
+    arrays = [pa.array(bucket[head].astype(np.int32), type=pa.int32())]
+    for c in columns:
+        c = c[order]
+        arrays.append(pa.array([planes(c[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], type=pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", *(f"c{i}" for i in range(len(columns)))])
+
+
+def packed_schema(n: int) -> str:
+    return ", ".join(["bucket int", *(f"c{i} binary" for i in range(n))])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The buckets of a partition sorted by bucket, each with its whole columns."""
+    at, held = None, [[] for _ in kinds]
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at is not None and row[0] != at:
+                yield at, [unplanes(h, k) for h, k in zip(held, kinds, strict=True)]
+                held = [[] for _ in kinds]
+            at = row[0]
+            for h, b in zip(held, row[1:], strict=True):
+                h.append(b)
+    if at is not None:
+        yield at, [unplanes(h, k) for h, k in zip(held, kinds, strict=True)]
+
+
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << U64(r)) | (x >> U64(64 - r))
+
+
+def spark_xxhash64(values: np.ndarray) -> np.ndarray:
+    """xxhash64 of 64-bit integers as Spark's function of that name gives it (seed 42)."""
+    # The primes of the published XXH64 algorithm.
+    p1, p2, p3, p4, p5 = (U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = np.full(len(values), U64(42) + p5 + U64(8), dtype=np.uint64)
+        h ^= _rotl(values.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = _rotl(h, 27) * p1 + p4
+        h ^= h >> U64(33)
+        h *= p2
+        h ^= h >> U64(29)
+        h *= p3
+        h ^= h >> U64(32)
+    return h.view(np.int64)
+
+
+def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    """pmod(xxhash64(id), groups), as the SQL expression of frames.group_of."""
+    return np.mod(spark_xxhash64(ids), groups)

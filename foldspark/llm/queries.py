@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldspark.llm import bpe
+from foldspark.llm import bpe, substring_dedup
 
 #: Where the public vocabulary files lie on this machine; a parameter of the operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -16,12 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"), size=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe": op10_bpe}
+    return {
+        "op2_substring_dedup": op2_substring_dedup,
+        "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -47,9 +47,6 @@ from foldspark.llm import _kernel as K
 #: Subsets that a task holds before it packs and sends them.
 FLUSH = 1_500_000
 
-#: Hash buckets and document groups for each partition.
-SPREAD = 4
-
 #: The integer that stands for a null id.
 LAST = (1 << 63) - 1
 
@@ -340,7 +337,7 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     rule = Rule(num, den)
     d = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt"))
     parts = D.parts_for(d)
-    buckets = groups = parts * SPREAD
+    buckets = groups = parts
     sent = d.mapInArrow(_send(n, rule, buckets), K.packed_schema(4)).repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = sent.mapInArrow(_found(buckets), _FOUND).checkpoint()
     dealt = d.withColumn("bucket", D.group_of("id", groups)).repartition(parts, "bucket")

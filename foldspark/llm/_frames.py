@@ -31,3 +31,13 @@ def has_checkpoint_dir(spark) -> None:
     """Keeps the folder that the cluster names in spark.checkpoint.dir; where it names none (tests), sets a local one."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+
+
+#: Rows up to which a table of a few short columns is broadcast.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count proves that it has at most ``most`` rows; else as it is, to be shuffled."""
+    n = df.limit(most + 1).count()
+    return F.broadcast(df) if n <= most else df

@@ -149,7 +149,10 @@ def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
 def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct values of each group [first[i], first[i + 1]), flat, and the groups' new bounds."""
     group = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((values, group)) if len(first) > 2 else np.argsort(values)
+    order = np.argsort(values)
+    if len(first) > 2:
+        # by group, the order within it kept; 16-bit keys sort in linear time
+        order = order[np.argsort(group[order].astype(np.uint16 if len(first) <= 1 << 16 else np.int64), kind="stable")]
     v, g = values[order], group[order]
     keep = np.ones(len(v), dtype=bool)
     keep[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])
@@ -158,6 +161,13 @@ def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return v[keep], bounds
 
 
+def sums(values: np.ndarray, slot: np.ndarray, slots: int) -> np.ndarray:
+    """The sum modulo 2**64 of the values of each slot (exact in doubles by halves, for fewer than 2**21 values a slot)."""
+    low = np.bincount(slot, weights=(values & U64(0xFFFFFFFF)).astype(np.float64), minlength=slots)
+    high = np.bincount(slot, weights=(values >> U64(32)).astype(np.float64), minlength=slots)
+    return low.astype(np.uint64) + (high.astype(np.uint64) << U64(32))
+
+
 def ragged(first: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices first[i] .. first[i] + lens[i] - 1 of every i, one after the other."""
     total = int(lens.sum())
@@ -187,9 +197,9 @@ def unplanes(blobs: list, kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
-def packed(bucket: np.ndarray, columns: list[np.ndarray], extra: list[pa.Array] | None = None) -> pa.RecordBatch:
+def packed(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket: its number and, for each column, a blob of its values."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
     bucket = bucket[order]
     head = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, dtype=np.int64)
     bounds = [*head.tolist(), len(bucket)]

@@ -45,7 +45,7 @@ from foldspark.llm import _graph
 from foldspark.llm import _kernel as K
 
 #: Subsets that a task holds before it packs and sends them.
-FLUSH = 1_500_000
+FLUSH = 800_000
 
 #: The integer that stands for a null id.
 LAST = (1 << 63) - 1
@@ -80,8 +80,8 @@ class Rule:
 def layout(top: int, apart: int, share: float) -> tuple[int, int]:
     """(wide segments, units) for a band of sets of up to ``top`` tokens that differ in ``apart`` tokens at most.
 
-    Cost of a set: its subsets to index and look up, and for each segment with so few
-    tokens that many sets share it, and which no spare unit allows it to leave out, 50 more.
+    Cost of a set: its subsets to index and look up, and for each segment without a token
+    to look up (many sets share it) that no spare unit allows it to leave out, 200 more.
     """
     best = None
     for spare in (0.0, 0.08, 0.16, 0.24):
@@ -90,9 +90,9 @@ def layout(top: int, apart: int, share: float) -> tuple[int, int]:
         for part in (0.0, 0.25, 0.5, 0.75, 1.0):
             wide = min(units // 2, round(part * units / 2))
             narrow = units - 2 * wide
-            poor = narrow * math.exp(-per) * (1 + per) + 2 * wide * math.exp(-2 * per) * (1 + 2 * per + 2 * per * per)
-            forced = max(0.0, poor + 2 * math.sqrt(poor) - (units - apart - 1))
-            cost = 1.8 * (narrow + wide * (1 + 2 * per)) + 50 * forced
+            poor = narrow * math.exp(-per) + 2 * wide * math.exp(-2 * per) * (1 + 2 * per)
+            forced = max(0.0, poor + 3 * math.sqrt(poor) - (units - apart - 1))
+            cost = 1.8 * (narrow + wide * (1 + 2 * per)) + 200 * forced
             if best is None or cost < best[0]:
                 best = cost, wide, units
     return best[1], best[2]
@@ -123,13 +123,9 @@ def _subsets(tokens: np.ndarray, first: np.ndarray, band: np.ndarray, need: np.n
     n = units - wide
     base = np.concatenate(([0], np.cumsum(n)))
     slot = base[owner] + segment
-    order = np.argsort(slot, kind="stable")
-    values = K.mix(tokens ^ _SALT[0])[order]
+    values = K.mix(tokens ^ _SALT[0])
     count = np.bincount(slot, minlength=base[-1])
-    total = np.zeros(base[-1], dtype=np.uint64)
-    full = np.flatnonzero(count)
-    if len(full):
-        total[full] = np.add.reduceat(values, np.concatenate(([0], np.cumsum(count[full])[:-1])))
+    total = K.sums(values, slot, base[-1])
     of = np.repeat(np.arange(len(band)), n)
     place = np.arange(base[-1]) - base[of]
     salt = K.mix((band[of].astype(np.uint64) << K.U64(40)) + place.astype(np.uint64) + _SALT[1])
@@ -144,10 +140,9 @@ def _subsets(tokens: np.ndarray, first: np.ndarray, band: np.ndarray, need: np.n
     flags = np.where(look, LOOK, 0) | (INDEX if index else 0)
     sent = np.flatnonzero(flags)
     out = [(K.mix(total[sent] + salt[sent]), of[sent], flags[sent])]
-    s = slot[order]
-    cut = np.flatnonzero(is_wide[s] & (flags[s] > 0))
+    cut = np.flatnonzero(is_wide[slot] & (flags[slot] > 0))
     if len(cut):
-        s = s[cut]
+        s = slot[cut]
         out.append((K.mix(total[s] - values[cut] + salt[s]), of[s], flags[s] | CUT))
     sig, who, f = (np.concatenate(x) for x in zip(*out, strict=True))
     return sig, who, f.astype(np.int8)
@@ -158,26 +153,22 @@ def _send(n: int, rule: Rule, buckets: int) -> Callable[[Iterator[pa.RecordBatch
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         sig, ids, flags = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ids, sig))
-        sig, ids, flags = sig[order], ids[order], flags[order]
-        head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        size = np.diff(np.append(head, len(sig)))
-        merged = np.bitwise_or.reduceat(flags, head)
-        # a subset that is never cut short stands for the whole group
-        merged &= ~np.int8(CUT) | np.bitwise_and.reduceat(flags, head)
-        one = K.mix(sig[head] & K.U64(3))[:, None] if len(head) else np.zeros((0, 1), dtype=np.uint64)
-        pick = _picked(ids, flags, head, size, one)
-        many = np.flatnonzero((size > 1) & (merged & LOOK > 0) & (merged & CUT == 0))
-        merged[many] |= MANY
-        solo = np.flatnonzero((size > 1) & ~np.isin(np.arange(len(head)), many))
-        keep = np.setdiff1d(np.arange(len(head)), solo)
-        rest = K.ragged(head[solo], size[solo])
-        s, i, f = np.concatenate((sig[head[keep]], sig[rest])), np.concatenate((ids[pick[keep]], ids[rest])), np.concatenate((merged[keep], flags[rest]))
-        yield K.packed((s >> K.U64(33)).astype(np.int64) % buckets, [s, i, f, np.zeros(len(s), dtype=np.int64)])
-        at = K.ragged(head[many], size[many])
+        at, head, size = _shared(sig)
+        none = np.zeros(len(sig), dtype=np.int64)
+        sent = np.ones(len(sig), dtype=bool)
         if len(at):
-            star = np.repeat(ids[pick[many]], size[many])
-            yield _passed(3, buckets, sig[at], ids[at], star)
+            group = np.repeat(np.arange(len(head)), size)
+            merged, cut = np.bitwise_or.reduceat(flags[at], head), np.bitwise_and.reduceat(flags[at], head) & CUT
+            # one set stands for those that hold the subset whole, if one of them looks it up
+            many = (merged & LOOK > 0) & (cut == 0)
+            pick = at[_picked(sig[at], ids[at], flags[at], head, group)]
+            sent[at[many[group]]] = False
+            sent[pick[many]] = True
+            flags = flags.copy()
+            flags[pick[many]] = merged[many] & ~CUT | MANY
+            member = many[group]
+            yield _passed(3, buckets, sig[at[member]], ids[at[member]], ids[pick][group[member]])
+        yield K.packed((sig[sent] >> K.U64(33)).astype(np.int64) % buckets, [sig[sent], ids[sent], flags[sent], none[sent]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -225,12 +216,25 @@ def _send(n: int, rule: Rule, buckets: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def _picked(ids: np.ndarray, flags: np.ndarray, head: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """For each group the member that stands for it: one that looks up uncut, by a hash of its id and the salt."""
-    group = np.repeat(np.arange(len(head)), size)
-    worse = (flags & (LOOK | CUT) != LOOK).astype(np.int8)
-    order = np.lexsort((K.mix(ids.view(np.uint64) ^ salt[group, 0]), worse, group))
-    return order[head]
+def _shared(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the signatures that stand several times, group by group, and the groups' heads and sizes."""
+    order = np.argsort(sig)
+    s = sig[order]
+    same = s[1:] == s[:-1]
+    member = np.append(False, same) | np.append(same, False)
+    at, s = order[member], s[member]
+    head = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, dtype=np.int64)
+    return at, head, np.diff(np.append(head, len(s)))
+
+
+def _picked(sig: np.ndarray, ids: np.ndarray, flags: np.ndarray, head: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each group the member that stands for it: one that looks up uncut, by one of four hashes of its id."""
+    worse = flags & (LOOK | CUT) != LOOK
+    rank = K.mix(ids.view(np.uint64) ^ K.mix(sig & K.U64(3))) >> K.U64(1) | worse.astype(np.uint64) << K.U64(63)
+    best = np.minimum.reduceat(rank, head)
+    is_best = np.flatnonzero(rank == best[group])
+    first = np.append(True, np.diff(group[is_best]) != 0)
+    return is_best[first]
 
 
 def _passed(kind: int, buckets: int, sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -251,18 +255,19 @@ def _found(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             if bucket >= buckets:
                 yield rows(flags & 15, sig, ids, other)
                 continue
-            order = np.lexsort((ids, sig))
-            sig, ids, flags = sig[order], ids[order], flags[order]
-            head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            size = np.diff(np.append(head, len(sig)))
+            at, head, size = _shared(sig)
+            if not len(at):
+                continue
+            sig, ids, flags = sig[at], ids[at], flags[at]
             any_of, all_of = np.bitwise_or.reduceat(flags, head), np.bitwise_and.reduceat(flags, head)
-            good = (size > 1) & (any_of & LOOK > 0) & (any_of & INDEX > 0) & (all_of & CUT == 0)
-            at = K.ragged(head[good], size[good])
+            good = (any_of & LOOK > 0) & (any_of & INDEX > 0) & (all_of & CUT == 0)
+            at, size = K.ragged(head[good], size[good]), size[good]
             if len(at):
-                sig, ids, flags, size = sig[at], ids[at], flags[at], size[good]
+                sig, ids, flags = sig[at], ids[at], flags[at]
                 head = np.cumsum(size) - size
-                pick = _picked(ids, flags, head, size, K.mix(sig[head] & K.U64(3))[:, None])
-                yield rows(np.full(len(at), 3), sig, ids, np.repeat(ids[pick], size))
+                group = np.repeat(np.arange(len(head)), size)
+                pick = _picked(sig, ids, flags, head, group)
+                yield rows(np.full(len(at), 3), sig, ids, ids[pick][group])
 
     return run
 

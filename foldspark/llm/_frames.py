@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,8 @@ def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """``df`` marked for broadcast if a count proves that it has at most ``most`` rows; else as it is, to be shuffled."""
     n = df.limit(most + 1).count()
     return F.broadcast(df) if n <= most else df
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

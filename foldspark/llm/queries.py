@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, ngram_jaccard, pii, substring_dedup
+from foldspark.llm import bpe, license_scan, line_dedup, ngram_jaccard, pii, quality_rules, substring_dedup
 
 #: Where the public vocabulary files lie on this machine; a parameter of the operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -26,6 +26,23 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"), run=3, gram=2)
+
+
+#: The verdict's threshold on the mean log ratio. Of 3409 labelled good documents of the 0.1 tables the lowest scores -0.057.
+KEEP_FROM = -0.075
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality_rules.report(table(spark, sf_dir, "documents"), trusted, KEEP_FROM)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents"), threshold=0.8))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -38,10 +55,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_quality_rules": op4_quality_rules,
+        "op7_license_scan": op7_license_scan,
         "op9_pii": op9_pii,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.SQL}

@@ -19,8 +19,20 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt"))
 
 
+#: Bytes of an Arrow batch between Spark and Python, at most.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch to BATCH_BYTES; that bounds memory and changes no result."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def parts_for(df: DataFrame, text: str = "txt", least: int | None = None) -> int:
     """Partitions so that each has about PART_BYTES of text; one number goes to the driver."""
+    small_batches(df.sparkSession)
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if least is None else least, -(-total // PART_BYTES))
 

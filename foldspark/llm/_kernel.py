@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: ASCII white space that ends a word: [\x20\x09-\x0D].
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)

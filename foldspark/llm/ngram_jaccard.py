@@ -45,7 +45,7 @@ from foldspark.llm import _graph
 from foldspark.llm import _kernel as K
 
 #: Subsets that a task holds before it packs and sends them.
-FLUSH = 800_000
+FLUSH = 400_000
 
 #: The integer that stands for a null id.
 LAST = (1 << 63) - 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, license_scan, line_dedup, ngram_jaccard, pii, quality_rules, substring_dedup
+from foldspark.llm import bpe, decontamination, license_scan, line_dedup, ngram_jaccard, pii, quality_rules, sharding, substring_dedup
 
 #: Where the public vocabulary files lie on this machine; a parameter of the operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -39,10 +39,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"), trusted, KEEP_FROM)
 
 
+#: The old layout: the documents lie in this many shards, by a check sum of their id. The new one has 40 equal ones.
+OLD_SHARDS, NEW_SHARDS = 32, 40
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(OLD_SHARDS))
+    return sharding.report(sharding.plan(table(spark, sf_dir, "documents"), old, OLD_SHARDS, [1] * NEW_SHARDS))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents"), threshold=0.8))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -57,7 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op5_sharding": op5_sharding,
         "op7_license_scan": op7_license_scan,
+        "op8_decontamination": op8_decontamination,
         "op9_pii": op9_pii,
         "op10_bpe": op10_bpe,
     }

@@ -97,6 +97,18 @@ class Words:
         terms *= up[: len(terms)]
         return mix(np.add.reduceat(terms, self.starts) * down[self.starts])
 
+    def solid(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each word's first letter or digit (-1: it has none), and a hash of its letters and digits, A-Z lowered."""
+        if not len(self.starts):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        places = np.flatnonzero(_SOLID[self.buf])
+        at = np.minimum(np.searchsorted(places, self.starts), max(0, len(places) - 1))
+        begin = places[at] if len(places) else np.zeros(len(self), dtype=np.int64)
+        begin = np.where((begin >= self.starts) & (begin < self.ends), begin, -1) if len(places) else begin - 1
+        up, down = _powers(0, len(self.buf))
+        terms = _TABLES["solid", True][self.buf] * up[: len(self.buf)]
+        return begin, mix(np.add.reduceat(terms, self.starts) * down[np.maximum(begin, 0)])
+
     def windows(self, size: int) -> np.ndarray:
         """Indices of the words at which a window of ``size`` words of one document starts."""
         if len(self) < size:
@@ -108,6 +120,12 @@ class Words:
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES)] = True
 
+#: Bytes of letters and digits: ASCII ones, and all of other characters.
+_SOLID = np.zeros(256, dtype=bool)
+for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    _SOLID[_a:_b] = True
+_TABLES["solid", True] = np.where(_SOLID, _table(11, True), U64(0))
+
 
 def rolled(h: np.ndarray, size: int, stream: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` values (over document bounds too; see Words.windows)."""
@@ -224,7 +242,8 @@ def by_bucket(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[
                 held = [[] for _ in kinds]
             at = row[0]
             for h, b in zip(held, row[1:], strict=True):
-                h.append(b)
+                if b is not None:
+                    h.append(b)
     if at is not None:
         yield at, [unplanes(h, k) for h, k in zip(held, kinds, strict=True)]
 

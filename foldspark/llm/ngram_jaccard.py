@@ -19,8 +19,10 @@ pairs. Candidates are verified exactly on whole texts (the centre's text goes to
 the groups of documents that hold its partners, once each). What a star can
 miss, pairs of partners that share a subset but whose links to the centre
 failed, is settled afterwards: subsets whose members all lie in one component
-are done; for the others the remaining pairs of different components are
-verified, too. So no link between different components is lost.
+are done; of the others' pairs of different components those are verified, too,
+whose token histograms leave a link possible (the histograms' distance is at
+most the number of tokens in which two sets differ, so this loses none). So no
+link between different components is lost.
 
 Defined results: A-Z count as a-z; fewer words than n are one token, their whole
 sequence; a null, empty or blank text has no tokens and links with nothing; rows
@@ -53,6 +55,9 @@ LAST = (1 << 63) - 1
 #: Flags of a subset: it is in the index; it looks others up; a token is deleted; it stands for several sets of its task.
 INDEX, LOOK, CUT, MANY = 1, 2, 4, 8
 
+#: Counts in a set's histogram.
+BINS = 128
+
 _SALT = K.mix(np.arange(1, 4, dtype=np.uint64))
 
 
@@ -161,14 +166,15 @@ def _send(n: int, rule: Rule, buckets: int) -> Callable[[Iterator[pa.RecordBatch
             merged, cut = np.bitwise_or.reduceat(flags[at], head), np.bitwise_and.reduceat(flags[at], head) & CUT
             # one set stands for those that hold the subset whole, if one of them looks it up
             many = (merged & LOOK > 0) & (cut == 0)
-            pick = at[_picked(sig[at], ids[at], flags[at], head, group)]
+            pick = at[_picked(sig[at], ids[at], head, group)]
             sent[at[many[group]]] = False
             sent[pick[many]] = True
             flags = flags.copy()
             flags[pick[many]] = merged[many] & ~CUT | MANY
             member = many[group]
             yield _passed(3, buckets, sig[at[member]], ids[at[member]], ids[pick][group[member]])
-        yield K.packed((sig[sent] >> K.U64(33)).astype(np.int64) % buckets, [sig[sent], ids[sent], flags[sent], none[sent]])
+        out = K.packed((sig[sent] >> K.U64(33)).astype(np.int64) % buckets, [sig[sent], ids[sent], flags[sent], none[sent]])
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=[*out.schema.names, "c4"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -179,7 +185,7 @@ def _send(n: int, rule: Rule, buckets: int) -> Callable[[Iterator[pa.RecordBatch
             for a, b in K.slices(texts):
                 tokens, first = token_sets(K.Words(texts[a:b]), n)
                 ids, sizes = every[a:b], np.diff(first)
-                yield _passed(0, buckets, np.zeros(len(ids), dtype=np.uint64), ids, sizes)
+                yield _passed(0, buckets, np.zeros(len(ids), dtype=np.uint64), ids, sizes, _histograms(tokens, first))
                 some = np.flatnonzero(sizes)
                 sums = np.add.reduceat(K.mix(tokens), first[some]) if len(some) else np.zeros(0, dtype=np.uint64)
                 more = np.add.reduceat(K.mix(tokens ^ _SALT[2]), first[some]) if len(some) else sums
@@ -227,33 +233,47 @@ def _shared(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, head, np.diff(np.append(head, len(s)))
 
 
-def _picked(sig: np.ndarray, ids: np.ndarray, flags: np.ndarray, head: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each group the member that stands for it: one that looks up uncut, by one of four hashes of its id."""
-    worse = flags & (LOOK | CUT) != LOOK
-    rank = K.mix(ids.view(np.uint64) ^ K.mix(sig & K.U64(3))) >> K.U64(1) | worse.astype(np.uint64) << K.U64(63)
+def _picked(sig: np.ndarray, ids: np.ndarray, head: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The centre of each group, by one of two hashes of the ids: the groups of like sets have few centres between them."""
+    rank = K.mix(ids.view(np.uint64) ^ K.mix(sig & K.U64(1)))
     best = np.minimum.reduceat(rank, head)
     is_best = np.flatnonzero(rank == best[group])
     first = np.append(True, np.diff(group[is_best]) != 0)
     return is_best[first]
 
 
-def _passed(kind: int, buckets: int, sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return K.packed(buckets + np.mod(K.spark_xxhash64(a), buckets), [sig, a, np.full(len(a), 16 + kind, dtype=np.int8), b.astype(np.int64)])
+def _histograms(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per set the number of its tokens in each of BINS bins, up to 255, as one value of BINS bytes."""
+    n = len(first) - 1
+    at = np.repeat(np.arange(n), np.diff(first)) * BINS + (tokens & K.U64(BINS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).view(f"V{BINS}")
+
+
+def _passed(kind: int, buckets: int, sig: np.ndarray, a: np.ndarray, b: np.ndarray, more: np.ndarray | None = None) -> pa.RecordBatch:
+    more = np.zeros(0, dtype=f"V{BINS}") if more is None else more
+    to = buckets + np.mod(K.spark_xxhash64(a), buckets)
+    sent = K.packed(to, [sig, a, np.full(len(a), 16 + kind, dtype=np.int8), b.astype(np.int64)])
+    blobs = K.packed(to, [more]).column(1) if len(more) else pa.nulls(sent.num_rows, pa.binary())
+    return pa.RecordBatch.from_arrays([*sent.columns, blobs], names=[*sent.schema.names, "c4"])
 
 
-_FOUND = "kind tinyint, sig long, a long, b long"
+_FOUND = "kind tinyint, sig long, a long, b long, h binary"
 
 
 def _found(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (kind, sig, a, b): 0 the size b of a; 1 a and b have equal sets; 3 a shares the subset sig with the star's centre b."""
 
-    def rows(kind: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(sig.view(np.int64)), pa.array(a), pa.array(b)], names=["kind", "sig", "a", "b"])
+    def rows(kind: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray, more: np.ndarray | None = None) -> pa.RecordBatch:
+        h = pa.nulls(len(a), pa.binary())
+        if more is not None and len(more):
+            at = iter(more)
+            h = pa.array([next(at).tobytes() if k == 0 else None for k in kind.tolist()], type=pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(sig.view(np.int64)), pa.array(a), pa.array(b), h], names=["kind", "sig", "a", "b", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (sig, ids, flags, other) in K.by_bucket(batches, [np.uint64, np.int64, np.int8, np.int64]):
+        for bucket, (sig, ids, flags, other, more) in K.by_bucket(batches, [np.uint64, np.int64, np.int8, np.int64, f"V{BINS}"]):
             if bucket >= buckets:
-                yield rows(flags & 15, sig, ids, other)
+                yield rows(flags & 15, sig, ids, other, more)
                 continue
             at, head, size = _shared(sig)
             if not len(at):
@@ -266,7 +286,7 @@ def _found(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 sig, ids, flags = sig[at], ids[at], flags[at]
                 head = np.cumsum(size) - size
                 group = np.repeat(np.arange(len(head)), size)
-                pick = _picked(sig, ids, flags, head, group)
+                pick = _picked(sig, ids, head, group)
                 yield rows(np.full(len(at), 3), sig, ids, ids[pick][group])
 
     return run
@@ -343,7 +363,7 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     d = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt"))
     parts = D.parts_for(d)
     buckets = groups = parts
-    sent = d.mapInArrow(_send(n, rule, buckets), K.packed_schema(4)).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sent = d.mapInArrow(_send(n, rule, buckets), K.packed_schema(5)).repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = sent.mapInArrow(_found(buckets), _FOUND).checkpoint()
     dealt = d.withColumn("bucket", D.group_of("id", groups)).repartition(parts, "bucket")
 
@@ -362,25 +382,59 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     member = found.filter("kind = 3").select("sig", F.col("a").alias("id")).unionByName(found.filter("kind = 3").select("sig", F.col("b").alias("id"))).distinct()
     member = member.join(parts_of, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("sig")
-    open_ = member.join(mixed, "sig").groupBy("sig").applyInArrow(_open_pairs, "a long, b long").distinct()
+    shape = found.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"), F.max("b").alias("most"), F.min("h").alias("h"))
+    members = member.join(mixed, "sig").join(shape, "id").select("sig", "id", "component", "least", "most", F.when(F.col("least") == F.col("most"), F.col("h")).alias("h"))
+    open_ = members.repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(_open_pairs(rule), "a long, b long").distinct()
     done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = open_.join(done, ["a", "b"], "left_anti")
     more = verified(left).filter(is_link).select("a", "b")
     return found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles")), linked.unionByName(more)
 
 
-def _open_pairs(members: pa.Table) -> pa.Table:
-    """The pairs of a subset's members that lie in different components, block by block."""
-    ids, comp = members.column("id").to_numpy(), members.column("component").to_numpy()
-    order = np.argsort(comp, kind="stable")
-    ids, comp = ids[order], comp[order]
-    end = np.searchsorted(comp, comp, side="right")
-    out = []
-    for i in range(len(ids)):
-        rest = ids[end[i] :]
-        if len(rest):
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.maximum(rest, ids[i])), pa.array(np.minimum(rest, ids[i]))], names=["a", "b"]))
-    return pa.Table.from_batches(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+def _open_pairs(rule: Rule, rows: int = 50_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of members sorted by subset, the pairs of different components that sizes and histograms allow to link."""
+
+    def pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, least: np.ndarray, most: np.ndarray, known: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        a, b, i = [], [], np.arange(len(sig))
+        for step in range(1, len(sig)):
+            i = i[i + step < len(sig)]
+            i = i[sig[i] == sig[i + step]]
+            if not len(i):
+                break
+            j = i + step
+            can = (comp[i] != comp[j]) & (most[j] * rule.den >= least[i] * rule.num) & (most[i] * rule.den >= least[j] * rule.num)
+            x, y = i[can], j[can]
+            for k in range(0, len(x), 20_000):
+                u, v = x[k : k + 20_000], y[k : k + 20_000]
+                apart = np.abs(h[u] - h[v]).sum(axis=1, dtype=np.int64)
+                ok = (apart <= rule.apart(most[u] + most[v])) | ~known[u] | ~known[v]
+                a.append(ids[u[ok]])
+                b.append(ids[v[ok]])
+        both = np.unique(np.stack((np.concatenate(b), np.concatenate(a)), axis=1), axis=0) if a else np.zeros((0, 2), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= rows:
+                table = pa.Table.from_batches(held).combine_chunks()
+                sig = table.column("sig").to_numpy()
+                cut = int(np.searchsorted(sig, sig[-1]))
+                held = table.slice(cut).to_batches()
+                if cut:
+                    yield pairs(*_members(table.slice(0, cut)))
+        if held:
+            yield pairs(*_members(pa.Table.from_batches(held)))
+
+    return run
+
+
+def _members(table: pa.Table) -> tuple[np.ndarray, ...]:
+    known = table.column("h").is_valid().to_numpy()
+    h = np.zeros((table.num_rows, BINS), dtype=np.int16)
+    h[known] = np.frombuffer(b"".join(table.column("h").drop_null().to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+    return (*(table.column(c).to_numpy() for c in ("sig", "id", "component", "least", "most")), known, h)
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:

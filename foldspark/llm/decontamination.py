@@ -51,8 +51,6 @@ _KIND[128:] = 4
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?:"]] = True
 
-_PLAIN = K._table(11, True)
-_PLAIN[:128][_KIND[:128] == 0] = 0
 _MARK = {"number": np.uint64(0x1111_2222_3333_4444), "unit": np.uint64(0x5555_6666_7777_8888), "name": np.uint64(0x9999_AAAA_BBBB_CCCC)}
 
 
@@ -62,19 +60,10 @@ class Tokens:
     def __init__(self, texts: list) -> None:
         w = self.words = K.Words(texts)
         kind = _KIND[w.buf]
-        solid = np.flatnonzero(kind)
-        at = np.searchsorted(solid, w.starts)
-        at[at == len(solid)] = max(0, len(solid) - 1)
-        begin = solid[at] if len(solid) else w.starts
-        real = (begin >= w.starts) & (begin < w.ends) if len(solid) else np.zeros(len(w), dtype=bool)
+        begin, h = w.solid()
+        real = begin >= 0
         self.word = np.flatnonzero(real)
-        begin, doc = begin[real], w.doc[real]
-        if len(begin):
-            up, down = K._powers(0, len(w.buf))
-            terms = _PLAIN[w.buf] * up[: len(w.buf)]
-            h = K.mix(np.add.reduceat(terms, w.starts)[real] * down[begin])
-        else:
-            h = np.zeros(0, dtype=np.uint64)
+        begin, h, doc = begin[real], h[real], w.doc[real]
         self.first = np.searchsorted(doc, np.arange(len(texts) + 1))
         self.begin, self.end = begin, w.ends[real]
         number = kind[begin] == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, decontamination, license_scan, line_dedup, ngram_jaccard, pii, quality_rules, sharding, substring_dedup
+from foldspark.llm import bpe, decontamination, license_scan, line_dedup, ngram_jaccard, pii, quality_rules, sharding, substring_dedup, toxicity
 
 #: Where the public vocabulary files lie on this machine; a parameter of the operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -48,6 +48,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(sharding.plan(table(spark, sf_dir, "documents"), old, OLD_SHARDS, [1] * NEW_SHARDS))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents"), threshold=0.8))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_sharding": op5_sharding,
+        "op6_toxicity": op6_toxicity,
         "op7_license_scan": op7_license_scan,
         "op8_decontamination": op8_decontamination,
         "op9_pii": op9_pii,

@@ -1,13 +1,63 @@
-"""The corpus pipeline: STAGES, run() and ORACLE_SQL."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, BPE.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns the columns of documents, the last one the encoded documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foldspark.llm import bpe, decontamination, line_dedup, ngram_jaccard, quality_rules
+from foldspark.llm._frames import small
+from foldspark.llm.queries import KEEP_FROM, VOCABULARY, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the counting rules or the ratio reject go. The trusted target is what the labels call good."""
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality_rules.judged(docs, trusted, KEEP_FROM).filter("_kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of three lines or more go from the texts; a document that loses all its words goes."""
+    out = line_dedup.dedup(docs, run=3, gram=2)
+    gone = (F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines"))
+    return out.filter(~gone).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id stays."""
+    found = ngram_jaccard.components(docs, n=5, num=80, den=100)
+    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(small(copies), F.col("doc_id") == F.col("_id"), "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item leaks go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids): the token ids of every text."""
+    return bpe.encode(docs, VOCABULARY)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("BPE encoding", encoded)]
+
+#: SQL has neither Spark's hash functions nor BPE; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each on the checkpointed rows of the one before."""
+    from foldspark.llm._frames import has_checkpoint_dir
+
+    has_checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = docs.checkpoint()
     return docs

@@ -56,7 +56,7 @@ LAST = (1 << 63) - 1
 INDEX, LOOK, CUT, MANY = 1, 2, 4, 8
 
 #: Counts in a set's histogram.
-BINS = 128
+BINS = 256
 
 _SALT = K.mix(np.arange(1, 4, dtype=np.uint64))
 
@@ -377,25 +377,29 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     stars = found.filter("kind = 3 and a <> b").select("a", "b").distinct()
     checked = verified(stars).checkpoint()
     linked = checked.filter(is_link).select("a", "b").unionByName(sure)
-    parts_of = _graph.components(linked).checkpoint()
-    # what the stars left open: subsets whose members lie in several components
+    # what the stars left open: subsets whose members lie in several components. First each member's likeliest partner, then all that is left
     member = found.filter("kind = 3").select("sig", F.col("a").alias("id")).unionByName(found.filter("kind = 3").select("sig", F.col("b").alias("id"))).distinct()
-    member = member.join(parts_of, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    mixed = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("sig")
-    shape = found.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"), F.max("b").alias("most"), F.min("h").alias("h"))
-    members = member.join(mixed, "sig").join(shape, "id").select("sig", "id", "component", "least", "most", F.when(F.col("least") == F.col("most"), F.col("h")).alias("h"))
-    open_ = members.repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(_open_pairs(rule), "a long, b long").distinct()
-    done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = open_.join(done, ["a", "b"], "left_anti")
-    more = verified(left).filter(is_link).select("a", "b")
-    return found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles")), linked.unionByName(more)
-
-
-def _open_pairs(rule: Rule, rows: int = 50_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of members sorted by subset, the pairs of different components that sizes and histograms allow to link."""
+    shape = found.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"), F.max("b").alias("most"), F.min("h").alias("h"), F.max("h").alias("other"))
+    # rows of one id with different sets have no histogram: none of their pairs is left out
+    shape = shape.select("id", "least", "most", F.when(F.col("h") == F.col("other"), F.col("h")).alias("h"))
+    for nearest in (True, False):
+        known = member.join(_graph.components(linked), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+        mixed = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("sig")
+        known = known.join(mixed, "sig").join(shape, "id").select("sig", "id", "component", "least", "most", "h")
+        open_ = known.repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(_open_pairs(rule, nearest), "a long, b long").distinct()
+        done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = verified(open_.join(done, ["a", "b"], "left_anti")).checkpoint()
+        checked = checked.unionByName(more)
+        linked = linked.unionByName(more.filter(is_link).select("a", "b"))
+    return found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles")), linked
+
+
+def _open_pairs(rule: Rule, nearest: bool, rows: int = 50_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of members sorted by subset, the pairs of different components that sizes and histograms allow to link: all, or each member's with the nearest histogram."""
 
     def pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, least: np.ndarray, most: np.ndarray, known: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         a, b, i = [], [], np.arange(len(sig))
+        best, least_apart = np.full(len(sig), -1), np.full(len(sig), np.iinfo(np.int64).max)
         for step in range(1, len(sig)):
             i = i[i + step < len(sig)]
             i = i[sig[i] == sig[i + step]]
@@ -408,8 +412,17 @@ def _open_pairs(rule: Rule, rows: int = 50_000) -> Callable[[Iterator[pa.RecordB
                 u, v = x[k : k + 20_000], y[k : k + 20_000]
                 apart = np.abs(h[u] - h[v]).sum(axis=1, dtype=np.int64)
                 ok = (apart <= rule.apart(most[u] + most[v])) | ~known[u] | ~known[v]
-                a.append(ids[u[ok]])
-                b.append(ids[v[ok]])
+                u, v, apart = u[ok], v[ok], apart[ok]
+                if nearest:
+                    for p, q in ((u, v), (v, u)):
+                        nearer = apart < least_apart[p]
+                        least_apart[p[nearer]], best[p[nearer]] = apart[nearer], q[nearer]
+                else:
+                    a.append(ids[u])
+                    b.append(ids[v])
+        if nearest:
+            u = np.flatnonzero(best >= 0)
+            a, b = [np.minimum(ids[u], ids[best[u]])], [np.maximum(ids[u], ids[best[u]])]
         both = np.unique(np.stack((np.concatenate(b), np.concatenate(a)), axis=1), axis=0) if a else np.zeros((0, 2), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 

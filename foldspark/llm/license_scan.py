@@ -28,10 +28,8 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import _frames as D
 
-#: Words of a text before A-Z are lowered, and after.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of a text with A-Z lowered.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Phrases of the base rule and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -103,10 +101,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     """The rows (key, n_words, places, found): ``places`` (word, label) of the base phrases, ``found`` the matched templates (label, share)."""
     order = order_of(docs, text, templates)
     d = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt"))
-    # (?i) lowers A-Z only; these tests are necessary for a match, so they spare most texts the rest
-    base = "|".join(GAP.join(p.split()) for p in PHRASES)
+    # lower() is coarser than lowering A-Z only: it parts the same words, and finds all words of the phrases and templates
+    # (others, too); so these tests lose nothing and spare most texts the rest
+    d = d.withColumn("_words", F.regexp_extract_all(F.lower("txt"), F.lit(WORD), F.lit(0)))
+    holds = lambda words: F.arrays_overlap("_words", F.array(*map(F.lit, sorted(words))))
     prefixes = {w for _, t in templates for ws in [sorted(set(t.split()), key=order.get)] for w in ws[: len(ws) - math.ceil(round(threshold * len(ws), 9)) + 1]}
-    lines = F.filter(F.split("txt", "\n"), lambda x: x.rlike(f"(?i)(?:{'|'.join(sorted(prefixes))})"))
+    lines = F.when(holds(prefixes), F.split("txt", "\n")).otherwise(F.expr("cast(array() as array<string>)"))
 
     def starts(words: Column, phrase: list[str], label: str) -> Column:
         def one(x: Column, i: Column) -> Column:
@@ -122,8 +122,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     words = F.regexp_extract_all(lowered(F.col("txt")), F.lit(WORD), F.lit(0))
     return d.select(
         F.col("key").alias(key),
-        F.size(F.regexp_extract_all("txt", F.lit(RAW_WORD), F.lit(0))).cast("long").alias("n_words"),
-        F.when(F.col("txt").rlike(f"(?i)(?:{base})"), D.let(words, places)).otherwise(none).alias("places"),
+        F.size("_words").cast("long").alias("n_words"),
+        F.when(holds({p.split()[-1] for p in PHRASES}), D.let(words, places)).otherwise(none).alias("places"),
         matches(F.transform(lines, lowered), order, threshold, templates).alias("found"),
     )
 

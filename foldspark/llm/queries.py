@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import bpe, decontamination, license_scan, line_dedup, ngram_jaccard, pii, quality_rules, sharding, substring_dedup, toxicity
+from foldspark.llm import bpe, decontamination, license_scan, line_dedup, ngram_jaccard, oracles, pii, quality_rules, sharding, substring_dedup, toxicity
 
 #: Where the public vocabulary files lie on this machine; a parameter of the operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL}
+    return oracles.oracle_sql()

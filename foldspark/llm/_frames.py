@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,16 @@ def has_checkpoint_dir(spark) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, and what its making has shuffled given free: Spark's cleaner deletes files of plans that a garbage collection finds unused."""
+    has_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 #: Rows up to which a table of a few short columns is broadcast.
 SMALL_ROWS = 500_000
 

@@ -16,7 +16,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Nulls and loops are no links; an empty table gives an empty one.
     """
     D.has_checkpoint_dir(links.sparkSession)
-    edges = links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    edges = links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = D.saved(edges)
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -363,19 +363,19 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     d = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt"))
     parts = D.parts_for(d)
     buckets = groups = parts
-    sent = d.mapInArrow(_send(n, rule, buckets), K.packed_schema(5)).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = sent.mapInArrow(_found(buckets), _FOUND).checkpoint()
-    dealt = d.withColumn("bucket", D.group_of("id", groups)).repartition(parts, "bucket")
+    found = D.saved(d.mapInArrow(_send(n, rule, buckets), K.packed_schema(5)).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_found(buckets), _FOUND))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs' intersections and sizes. Only texts of documents in pairs are dealt out, once for centres and partners."""
+        ids = D.small(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        dealt = d.join(ids, "id", "left_semi").withColumn("bucket", D.group_of("id", groups)).repartition(parts, "bucket")
         by_centre = pairs.withColumn("bucket", D.group_of("b", groups)).repartition(parts, "bucket")
         asked = dealt.groupBy("bucket").cogroup(by_centre.groupBy("bucket")).applyInArrow(_asked(groups), "bucket int, centre long, partners array<long>, txt string").repartition(parts, "bucket")
-        return dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_verified(n), "a long, b long, both long, n_a long, n_b long")
+        return D.saved(dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_verified(n), "a long, b long, both long, n_a long, n_b long"))
 
     is_link = F.col("both") * den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * num
     sure = found.filter("kind = 1").select("a", "b")
-    stars = found.filter("kind = 3 and a <> b").select("a", "b").distinct()
-    checked = verified(stars).checkpoint()
+    checked = verified(D.saved(found.filter("kind = 3 and a <> b").select("a", "b").distinct()))
     linked = checked.filter(is_link).select("a", "b").unionByName(sure)
     # what the stars left open: subsets whose members lie in several components. First each member's likeliest partner, then all that is left
     member = found.filter("kind = 3").select("sig", F.col("a").alias("id")).unionByName(found.filter("kind = 3").select("sig", F.col("b").alias("id"))).distinct()
@@ -388,7 +388,7 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
         known = known.join(mixed, "sig").join(shape, "id").select("sig", "id", "component", "least", "most", "h")
         open_ = known.repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(_open_pairs(rule, nearest), "a long, b long").distinct()
         done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = verified(open_.join(done, ["a", "b"], "left_anti")).checkpoint()
+        more = verified(D.saved(open_.join(done, ["a", "b"], "left_anti")))
         checked = checked.unionByName(more)
         linked = linked.unionByName(more.filter(is_link).select("a", "b"))
     return found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles")), linked

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,13 @@ def min_value(x: Column) -> Column:
 
 def max_value(x: Column) -> Column:
     return F.max(F.when(x >= 0, x))
+
+
+def members(df: DataFrame, x: Column) -> DataFrame:
+    """(value) of the set that a column's non-negative integers make; order by it for random access."""
+    return df.select(x.cast("long").alias("value")).filter(F.col("value") >= 0).distinct()
+
+
+def span(df: DataFrame, start: int, end: int) -> DataFrame:
+    """(value) of the set [start, end)."""
+    return df.sparkSession.range(max(start, 0), max(end, start, 0)).select(F.col("id").alias("value"))

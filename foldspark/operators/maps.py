@@ -115,3 +115,19 @@ def intersect_sets(*sets: DataFrame) -> DataFrame:
 def cartesian(*frames: DataFrame) -> DataFrame:
     """All combinations of rows of the frames: the one operator whose meaning is a product."""
     return reduce(DataFrame.crossJoin, frames)
+
+
+def compute_if_present(m: DataFrame, changes: DataFrame, f: Both) -> DataFrame:
+    """f(old, change) for the keys that both have; a null result removes the key."""
+    return upsert(m, trimmed(changes, m), f)
+
+
+def compute_if_absent(m: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``m`` with the entries of ``fresh`` whose keys it lacks."""
+    return m.select("k", "v").unionByName(difference(fresh.select("k", "v"), m))
+
+
+def with_membership(df: DataFrame, x: Column, members: DataFrame, name: str = "member") -> DataFrame:
+    """``df`` with whether ``x`` is in the set (a frame of one column); null may be a member."""
+    held = members.select(F.col(members.columns[0]).alias("_m")).distinct().withColumn("_has", F.lit(True))
+    return df.join(held, x.eqNullSafe(F.col("_m")), "left").withColumn(name, F.coalesce("_has", F.lit(False))).drop("_m", "_has")

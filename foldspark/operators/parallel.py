@@ -52,3 +52,14 @@ def pgroups(spark: SparkSession, n: int, size: int, f: Callable[[int, int], floa
 def in_task() -> bool:
     """Whether this code runs in a task: jobs cannot be started there."""
     return TaskContext.get() is not None
+
+
+def consume(df: DataFrame, make: Callable[[], Callable[[object], None]]) -> None:
+    """Each partition's rows into a consumer of its own; for side effects only."""
+
+    def run(rows: Iterator[object]) -> None:
+        accept = make()
+        for row in rows:
+            accept(row)
+
+    df.foreachPartition(run)

@@ -225,3 +225,43 @@ def partition_by_cost(df: DataFrame, order: Sequence[str | Column], cost: str, m
 
     folded = d.select(POS, F.col(cost).alias("c"), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(fold, f"{POS} long, {name} long")
     return d.join(folded, POS)
+
+
+def split_while(df: DataFrame, order: Column, p: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows before the first that doesn't hold ``p``, and the rest."""
+    head = take_while(df, order, p)
+    return head, df.join(head.select(order.alias("_o")), order.eqNullSafe(F.col("_o")), "left_anti")
+
+
+def predicate_runs(values, same: Callable[[object, object], bool]) -> list[int]:
+    """The run of each value: a run goes on while ``same(first of the run, value)``."""
+    out, number, head = [], -1, None
+    for i, x in enumerate(values):
+        if i == 0 or not same(head, x):
+            number, head = number + 1, x
+        out.append(number)
+    return out
+
+
+def partition_by_predicate(df: DataFrame, order: Sequence[str | Column], value: str, same: Callable[[object, object], bool], name: str = "_run") -> DataFrame:
+    """Runs of values that a Python predicate calls the same as the run's first.
+
+    Such a predicate need not be transitive, so where a run ends depends on all
+    before it: one task folds over the positions and values.
+    """
+    d = with_pos(df, order)
+
+    def fold(rows):
+        rows = rows.sort_values(POS)
+        return rows.assign(**{name: predicate_runs(rows["x"], same)})[[POS, name]]
+
+    folded = d.select(POS, F.col(value).alias("x"), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(fold, f"{POS} long, {name} long")
+    return d.join(folded, POS)
+
+
+def add_constant(df: DataFrame, order: Sequence[str | Column], at: int, count: int, values: dict[str, Column]) -> DataFrame:
+    """``count`` equal rows inserted at index ``at``, with positions."""
+    d = with_pos(df, order)
+    moved = d.withColumn(POS, F.when(F.col(POS) >= at, F.col(POS) + count).otherwise(F.col(POS)))
+    ids = df.sparkSession.range(count).select((F.col("id") + at).alias(POS), *(x.cast(df.schema[c].dataType).alias(c) for c, x in values.items()))
+    return moved.unionByName(ids)

@@ -626,3 +626,54 @@ def iterable_source(spark, d):
 @query("SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 def into_union(spark, d):
     return T.into(read(spark, d, "nation").select(c("n_nationkey").alias("k")), read(spark, d, "region").select(c("r_regionkey").alias("k")))
+
+
+# ---- membership, points and ranges
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AS member FROM customer")
+def contains_fn(spark, d):
+    rich = read(spark, d, "orders").filter("o_totalprice > 200000").select("o_custkey")
+    return M.with_membership(read(spark, d, "customer").select("c_custkey"), c("c_custkey"), rich)
+
+
+@query(TWO + "SELECT a.k, CASE WHEN b.k IS NULL AND NOT EXISTS (SELECT 1 FROM b x WHERE x.k IS NOT DISTINCT FROM a.k) THEN a.v ELSE a.v + b.v END AS v FROM a LEFT JOIN b ON a.k IS NOT DISTINCT FROM b.k")
+def compute_if_present(spark, d):
+    return M.compute_if_present(*_by_nation(spark, d), lambda old, new: old + new)
+
+
+@query(TWO + "SELECT k, v FROM a UNION ALL SELECT k, v FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k IS NOT DISTINCT FROM b.k)")
+def compute_if_absent(spark, d):
+    return M.compute_if_absent(*_by_nation(spark, d))
+
+
+@query("SELECT DISTINCT p_size::BIGINT AS value FROM part WHERE p_size >= 0")
+def bitset_members(spark, d):
+    return bitset.members(read(spark, d, "part"), c("p_size"))
+
+
+@query(f"SELECT CASE WHEN _pos >= 5 THEN _pos + 3 ELSE _pos END AS _pos, k FROM (SELECT _pos, o_orderkey AS k FROM {ORDERS}) UNION ALL SELECT 5 + i, 100 FROM range(3) t(i)")
+def add_constant(spark, d):
+    return S.add_constant(_orders(spark, d).select(c("o_orderkey").alias("k")), ["k"], 5, 3, {"k": F.lit(100)})
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey >= (SELECT min(o_orderkey) FROM orders WHERE o_totalprice > 200000)")
+def take_while_rest(spark, d):
+    return S.split_while(read(spark, d, "orders"), c("o_orderkey"), c("o_totalprice") <= 200000)[1].select("o_orderkey")
+
+
+@query()
+def partition_by_predicate(spark, d):
+    return S.partition_by_predicate(read(spark, d, "part").select("p_partkey", "p_size"), ["p_partkey"], "p_size", lambda a, b: abs(a - b) <= 10).select("p_partkey", "_run")
+
+
+@query("SELECT l_returnflag AS k, CASE WHEN sum(l_quantity) > 100000 THEN 'many' WHEN sum(l_quantity) > 50000 THEN 'some' ELSE 'few' END AS v, 1 AS one FROM lineitem GROUP BY 1")
+def cond_constantly(spark, d):
+    n = F.sum("l_quantity")
+    return read(spark, d, "lineitem").groupBy(c("l_returnflag").alias("k")).agg(F.when(n > 100_000, "many").when(n > 50_000, "some").otherwise("few").alias("v")).withColumn("one", F.lit(1))
+
+
+@query(f"SELECT a.event_id, a.v IS NOT DISTINCT FROM b.v OR (isnan(a.v) AND isnan(b.v)) AS same FROM ({NAN_SQL}) a JOIN ({NAN_SQL}) b ON a.event_id = b.event_id WHERE a.v IS NOT NULL")
+def double_eq(spark, d):
+    e = with_nan(read(spark, d, "events")).filter("v is not null")
+    return e.select("event_id", casts.double_eq(c("v"), c("v") * 1).alias("same"))

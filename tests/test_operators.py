@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from foldspark.functions import arrays as A
-from foldspark.functions import bloom, casts
+from foldspark.functions import bitset, bloom, casts
 from foldspark.operators import maps as M
 from foldspark.operators import parallel, sorting
 from foldspark.operators import reducers as R
@@ -219,3 +219,21 @@ def test_stream(spark, tmp_path):
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     out = windows.run_once(windows.windowed(windows.stream(spark, str(tmp_path / "in"), schema), "ts", "k", "v"), "counts")
     assert sum(r.n for r in out.collect()) == 12 and sum(r.total for r in out.collect()) == 66
+
+
+def test_more_points(spark):
+    a = T.entries(spark, [("a", 2), (None, 5)], "k string, v int")
+    b = T.entries(spark, [("b", 7), (None, 1), ("a", None)], "k string, v int")
+    as_dict = lambda df: {r.k: r.v for r in df.collect()}
+    assert as_dict(M.compute_if_present(a, b, lambda old, new: old + new)) == {None: 6}
+    assert as_dict(M.compute_if_absent(a, b)) == {"a": 2, None: 5, "b": 7}
+    got = M.with_membership(a, c("k"), b.filter("k is null").select("k")).collect()
+    assert {r.k: r.member for r in got} == {"a": False, None: True}
+    head, rest = S.split_while(numbers(spark, 10), c("v"), c("v") < 4)
+    assert head.count() == 4 and sorted(r.v for r in rest.collect()) == [4, 5, 6, 7, 8, 9]
+    assert S.predicate_runs([1, 2, 3, 4, 1, 1], lambda a, b: abs(a - b) <= 1) == [0, 0, 1, 1, 2, 2]
+    assert values(S.add_constant(numbers(spark, 3), ["v"], 3, 2, {"v": F.lit(9)})) == [0, 1, 2, 9, 9]
+    assert sorted(r.value for r in bitset.span(a, -2, 3).collect()) == [0, 1, 2]
+    seen = spark.sparkContext.accumulator(0)
+    parallel.consume(numbers(spark, 10), lambda: lambda r: seen.add(r.v))
+    assert seen.value == 45

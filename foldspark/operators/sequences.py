@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 POS = "_pos"
 
+#: Partitions up to which their offsets are literals of the plan; beyond, a broadcast table of one row for each.
+FEW_PARTITIONS = 64
+
 #: Rows of a block in running sums.
 BLOCK = 1 << 20
 
@@ -42,8 +45,11 @@ def with_pos(df: DataFrame, order: Sequence[str | Column], name: str = POS) -> D
     for p, n in counts:
         before.append((p, total))
         total += n
-    offset = F.lit(0).cast("long") if len(before) < 2 else F.element_at(F.create_map(*(F.lit(x) for p in before for x in p)), part)
-    return s.withColumn(name, (offset + at).cast("long")).drop("_m")
+    if len(before) <= FEW_PARTITIONS:
+        offset = F.lit(0).cast("long") if len(before) < 2 else F.element_at(F.create_map(*(F.lit(x) for p in before for x in p)), part)
+        return s.withColumn(name, (offset + at).cast("long")).drop("_m")
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    return s.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + at).cast("long")).drop("_m", "_part", "_before")
 
 
 def take(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:

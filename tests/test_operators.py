@@ -237,3 +237,9 @@ def test_more_points(spark):
     seen = spark.sparkContext.accumulator(0)
     parallel.consume(numbers(spark, 10), lambda: lambda r: seen.add(r.v))
     assert seen.value == 45
+
+
+def test_positions_of_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW_PARTITIONS", 1)
+    d = S.with_pos(numbers(spark, 5000, 6), ["v"])
+    assert d.columns == ["v", "_pos"] and values(d, "_pos") == values(d) == list(range(5000))

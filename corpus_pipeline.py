@@ -13,6 +13,9 @@ from foldspark.llm import bpe, decontamination, line_dedup, ngram_jaccard, quali
 from foldspark.llm._frames import small
 from foldspark.llm.queries import KEEP_FROM, VOCABULARY, table
 
+#: Runs of one or two lines that hold more words than this are passages to look for; shorter ones may be common phrases.
+SHORT_WORDS = 50
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counting rules or the ratio reject go. The trusted target is what the labels call good."""
@@ -21,9 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of three lines or more go from the texts; a document that loses all its words goes."""
-    out = line_dedup.dedup(docs, run=3, gram=2)
-    gone = (F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines"))
+    """Repeated runs of three lines or more go from the texts, and shorter ones of more than SHORT_WORDS words.
+
+    A document that runs of three lines or more empty goes here; one that shorter runs empty stays without words
+    and goes in ``benchmark``.
+    """
+    out = line_dedup.dedup(docs, run=3, gram=2, words=SHORT_WORDS)
+    gone = (F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines")) & (F.col("_n_short") == 0)
     return out.filter(~gone).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -35,7 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item leaks go."""
+    """Documents in which a benchmark item leaks go, and those that line dedup has left no words."""
+    docs = docs.filter(F.col("text").rlike(line_dedup.WORD))
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -9,6 +9,9 @@ compared by 128 bits of hash) are joined with their earliest place by document
 id, then line; a window that also starts earlier goes. Windows overlap, so a
 longer match is extended both ways, line by line, as far as it goes.
 
+With ``words``, runs of fewer than ``run`` lines are windows, too, if they hold
+more than that many words; each is its own fingerprint and goes by the same rule.
+
 All of it is DataFrame expressions. Copies meet as partial minima, a row for
 each window and task, so no task gets a group's rows.
 
@@ -28,6 +31,7 @@ from foldspark.llm import _frames as D
 
 #: What makes a line count, and the white space cut at its ends.
 WORD = r"[^\x20\x09-\x0D]"
+SPACES = r"[\x20\x09-\x0D]+"
 ENDS = " \t\n\x0b\x0c\r"
 
 
@@ -54,20 +58,50 @@ def _windows(hashes: Column, run: int, gram: int) -> Column:
     return D.let(hashes, of)
 
 
-def removed(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows (id, starts) of documents that lose windows: the places of those, counted in lines with a word from 0."""
-    d = D.keyed(docs, key, text).select("id", F.posexplode(_windows(line_hashes(F.col("txt")), run, gram)).alias("at", "w")).select("id", "at", "w.*")
+def _short_windows(text: Column, run: int, words: int) -> Column:
+    """(at, n, both hashes) of the windows of n < ``run`` lines that hold more than ``words`` words."""
+    lines = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD)), lambda x: F.trim(x, F.lit(ENDS)))
+    hashed = F.transform(lines, lambda t: F.named_struct(F.lit("a"), F.xxhash64(t), F.lit("b"), F.xxhash64(F.lit(1), t), F.lit("w"), F.size(F.split(t, SPACES))))
+
+    def of(h: Column) -> Column:
+        def windows(n: int) -> Column:
+            part = lambda field, i: F.xxhash64(F.transform(F.slice(h, i + 1, F.lit(n)), lambda x: x[field]))
+
+            def one(_: Column, i: Column) -> Column:
+                held = sum((F.get(h, i + k)["w"] for k in range(1, n)), F.get(h, i)["w"])
+                w = F.named_struct(F.lit("at"), i, F.lit("n"), F.lit(n), F.lit("a"), part("a", i), F.lit("b"), part("b", i))
+                return F.when(held > words, w)  # null beyond the last line
+
+            return F.array_compact(F.transform(h, one))
+
+        return F.concat(*(windows(n) for n in range(1, run)))
+
+    return D.let(hashed, of)
+
+
+def _late(windows: DataFrame, by: list[str]) -> DataFrame:
+    """The windows (id, at, ...) that are equal in ``by`` to one that starts earlier."""
+    first = windows.groupBy(*by).agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n_same")).filter("n_same > 1").drop("n_same")
+    return windows.join(first, by).filter(F.struct("id", "at") > F.col("first"))
+
+
+def removed(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """The rows (id, starts) of documents that lose windows: the place (counted in lines with a word from 0) and the lines of each."""
+    k = D.keyed(docs, key, text)
+    d = k.select("id", F.posexplode(_windows(line_hashes(F.col("txt")), run, gram)).alias("at", "w")).select("id", "at", "w.*")
     # a document holds a fingerprint in several of its windows, too: only another place of the whole window makes it one to look at
     repeated = d.groupBy("f").agg(F.count("*").alias("n"), F.count_distinct("a", "b").alias("kinds")).filter("n > kinds").select("f")
-    w = d.join(repeated, "f", "left_semi")
-    first = w.groupBy("f", "a", "b").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    late = w.join(first, ["f", "a", "b"]).filter(F.struct("id", "at") > F.col("first"))
-    return late.groupBy("id").agg(F.collect_set("at").alias("starts"))
+    late = _late(d.join(repeated, "f", "left_semi"), ["f", "a", "b"]).select("id", "at", F.lit(run).alias("n"))
+    if words is not None and run > 1:
+        short = k.select("id", F.explode(_short_windows(F.col("txt"), run, words)).alias("w")).select("id", "w.*")
+        late = late.unionByName(_late(short, ["n", "a", "b"]).select("id", "at", "n"))
+    return late.groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
 
 
-def dedup(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lines of repeated runs deleted from the text, and _n_lines and _n_removed added."""
-    gone = removed(docs, run, gram, key, text).select(F.col("id").alias("_id"), F.array_sort("starts").alias("_starts"))
+def dedup(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """``docs`` with the lines of repeated runs deleted from the text, and _n_lines and _n_removed added; with ``words``
+    also _n_short, how many of the removed lines only shorter runs cover."""
+    gone = removed(docs, run, gram, key, text, words).select(F.col("id").alias("_id"), _places(F.col("starts")).alias("_gone"), _places(F.filter("starts", lambda s: s["n"] == run)).alias("_long"))
     out = docs.withColumn("_id", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(D.NO_ID))).join(gone, "_id", "left")
     lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")
     # the place of each line among those with a word, and whether a removed window covers it
@@ -76,18 +110,22 @@ def dedup(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", tex
     counted = F.aggregate(place, F.array(F.lit(0)), step)
 
     def kept(seen: Column) -> Column:
-        def stays(x: Column, i: Column) -> Column:
-            at = F.get(seen, i)
-            covered = F.exists(F.sequence(F.greatest(at - (run - 1), F.lit(0)), at), lambda s: F.array_contains("_starts", s))
-            return ~(x.rlike(WORD) & covered)
+        return F.filter(lines, lambda x, i: ~(x.rlike(WORD) & F.array_contains("_gone", F.get(seen, i))))
 
-        return F.filter(lines, stays)
-
-    out = out.withColumn("_left", F.when(F.col("_starts").isNotNull(), F.array_join(D.let(counted, kept), "\n")))
+    out = out.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_join(D.let(counted, kept), "\n")))
     total = F.size(F.filter(lines, lambda x: x.rlike(WORD)))
     rest = F.size(F.filter(F.split("_left", "\n"), lambda x: x.rlike(WORD)))
-    out = out.withColumn("_n_lines", total.cast("long")).withColumn("_n_removed", F.when(F.col("_starts").isNull(), 0).otherwise(total - rest).cast("long"))
-    return out.withColumn(text, F.coalesce("_left", F.col(f"`{text}`"))).drop("_id", "_starts", "_left")
+    out = out.withColumn("_n_lines", total.cast("long")).withColumn("_n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(total - rest).cast("long"))
+    if words is not None:
+        # rows that share an id hold different lines: places beyond the last line are none
+        of_row = lambda a: F.size(F.filter(a, lambda p: p < F.col("_n_lines")))
+        out = out.withColumn("_n_short", F.when(F.col("_gone").isNull(), 0).otherwise(of_row("_gone") - of_row("_long")).cast("long"))
+    return out.withColumn(text, F.coalesce("_left", F.col(f"`{text}`"))).drop("_id", "_gone", "_long", "_left")
+
+
+def _places(windows: Column) -> Column:
+    """The lines that windows (at, n) cover."""
+    return F.array_distinct(F.flatten(F.transform(windows, lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
 
 
 def report(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

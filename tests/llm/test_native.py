@@ -110,6 +110,16 @@ def test_lines(spark, sf_dir):
     assert line_dedup.dedup(same).drop("_n_lines", "_n_removed").columns == same.columns
 
 
+def test_short_runs(spark):
+    """Runs of one or two lines with many words go, too; short lines stay; the earliest place stays."""
+    one, two = " ".join(f"w{i}" for i in range(60)), "\n".join(" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+    rows = [(1, f"head\n{one}\ntail"), (2, f"  {one}"), (3, f"{two}"), (4, f"x\n\n{two}\ny"), (5, "head"), (6, f"{two.splitlines()[0]}\nhead"), (7, None), (8, "a\nb\nc"), (9, "a\nb\nc"), (10, one[:-4])]
+    got = {r.doc_id: (r.text, r._n_lines, r._n_removed, r._n_short) for r in line_dedup.dedup(frame(spark, rows), words=50).collect()}
+    want = {k: (t, sum(bool(WORD.search(x)) for x in (t or "").split("\n")), 0, 0) for k, t in rows}
+    assert got == want | {2: ("", 1, 1, 1), 4: ("x\n\ny", 4, 2, 2), 9: ("", 3, 3, 0)}
+    assert {r.doc_id: r.text for r in line_dedup.dedup(frame(spark, rows)).collect()}[2] == f"  {one}"
+
+
 def licence_brute(text, threshold=0.8):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = LICENCE_WORD.findall(low)

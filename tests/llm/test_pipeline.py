@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_native import counts, line_brute
 from tests.llm.test_ngram_jaccard import brute
@@ -32,3 +34,12 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "ids"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "BPE encoding"]
+
+
+def test_short_copies(spark):
+    """A passage of one long line goes from a later document, and a document that is nothing else goes whole."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"own\n{passage}"), (2, f"more words\n{passage}"), (3, passage)], "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    out = corpus_pipeline.lines(spark, docs, None).checkpoint()
+    assert {r.doc_id: r.text for r in out.collect()} == {1: f"own\n{passage}", 2: "more words", 3: ""}
+    assert {r.doc_id for r in out.filter(F.col("text").rlike(r"\S")).collect()} == {1, 2}

@@ -7,9 +7,12 @@ documents, and t discloses the share
 
     ln(n(t, e) N / (n(t) n(e))) / ln(N / n(e))
 
-of the information that e itself carries. Terms with a share of ``disclosure``
-or more, seen beside e in ``support`` different lines or more (one text copied
-many times is one line), are spans, too, in every document that holds e;
+of the information that e itself carries. A term that is seen beside e in fewer
+than ``support`` different lines (one text copied many times is one line) counts
+less: k lines are taken as the part k / (k + support / 3) of n(t, e). So, with a
+support of 3, one line is enough where N / n(e) is 1,024 or more, two where it is
+58 or more. Terms with a share of ``disclosure`` or more are spans, too, in every
+document that holds e;
 ``clean`` generalises values to [EMAIL] etc. and terms to [TERM].
 
 All of it is DataFrame expressions. The patterns are written with possessive
@@ -134,14 +137,18 @@ def _terms(d: DataFrame, hits: DataFrame, support: int, disclosure: float) -> Da
     words = F.array_distinct(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)))
     pairs = lines.select("rid", F.xxhash64("line").alias("line"), F.explode(F.array_distinct("values")).alias("e"), words.alias("words")).select("rid", "line", F.concat_ws(":", "e.rank", "e.value").alias("e"), F.explode("words").alias("t"))
     n_e = pairs.select("e", "rid").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    seen = pairs.groupBy("e", "t", "line").agg(F.lit(1).alias("one")).groupBy("e", "t").agg(F.count("*").alias("lines")).filter(F.col("lines") >= support)
-    both = pairs.select("e", "t", "rid").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).join(seen, ["e", "t"]).checkpoint()
+    total = F.lit(float(max(d.count(), 1)))
+    weight = F.when(F.col("lines") >= support, 1.0).otherwise(F.col("lines") / (F.col("lines") + support / 3))
+    share = lambda n_t: F.log(F.col("weight") * F.col("n_et") * total / (F.col(n_t) * F.col("n_e"))) / F.log(total / F.col("n_e"))
+    seen = pairs.groupBy("e", "t", "line").agg(F.lit(1).alias("one")).groupBy("e", "t").agg(F.count("*").alias("lines")).select("e", "t", weight.alias("weight"))
+    # the documents with t beside any value are some of those with t: a share too small for them is too small
+    n_near = pairs.select("t", "rid").distinct().groupBy("t").agg(F.count("*").alias("n_near"))
+    both = pairs.select("e", "t", "rid").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).join(seen, ["e", "t"]).join(n_e, "e").join(n_near, "t")
+    both = both.filter((F.col("n_e") < total) & (share("n_near") >= disclosure)).drop("n_near").checkpoint()
     wanted = both.select("t").distinct()
     every = d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("txt"), F.lit(TERM), F.lit(0)))).alias("t"))
     n_t = every.join(D.small(wanted), "t").groupBy("t").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(max(d.count(), 1)))
-    share = F.log(F.col("n_et") * total / (F.col("n_t") * F.col("n_e"))) / F.log(total / F.col("n_e"))
-    told = both.join(n_t, "t").join(n_e, "e").filter((F.col("n_e") < total) & (share >= disclosure)).select("e", "t")
+    told = both.join(n_t, "t").filter(share("n_t") >= disclosure).select("e", "t")
     return pairs.select("rid", "e").distinct().join(told, "e").groupBy("rid").agg(F.collect_set("t").alias("terms"))
 
 

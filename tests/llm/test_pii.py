@@ -64,3 +64,13 @@ def test_terms(spark):
     text = {r.doc_id: r.c for r in found.withColumn("c", pii.clean(found)).select("doc_id", "c").collect()}
     assert text[0] == "line 0 common words\nZyx0 [TERM] writes from [EMAIL] today 0" and text[30] is None
     assert pii.digest(pii.detect(df.filter(F.lit(False)))).count() == 0
+
+
+def test_rare_values(spark):
+    """A term that stands only beside a value seen once is a span where the table is large enough; common words are none."""
+    texts = [f"plain words of line {i % 40}" for i in range(1200)] + ["plain gruzel words ann@y.org line"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(pii.detect(df)).filter("spans <> ''").collect()}
+    assert got == {1200: "term:6:12,email:19:28"}
+    few = df.filter("doc_id >= 1000")
+    assert {r.doc_id: r.spans for r in pii.digest(pii.detect(few)).filter("spans <> ''").collect()} == {1200: "email:19:28"}

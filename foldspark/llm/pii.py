@@ -12,7 +12,7 @@ than ``support`` different lines (one text copied many times is one line) counts
 less: k lines are taken as the part k / (k + support / 3) of n(t, e). So, with a
 support of 3, one line is enough where N / n(e) is 1,024 or more, two where it is
 58 or more. Terms with a share of ``disclosure`` or more are spans, too, in every
-document that holds e;
+document that holds them, with or without e;
 ``clean`` generalises values to [EMAIL] etc. and terms to [TERM].
 
 All of it is DataFrame expressions. The patterns are written with possessive
@@ -81,15 +81,19 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, rank: int) -> Column:
-    """All matches from the left with their places: the lengths of the pieces between them, added up."""
+def located(text: Column, pattern: str, rank: int, wanted=None) -> Column:
+    """All matches from the left (that are ``wanted``) with their places: the lengths of the pieces between them, added up."""
     pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["pieces"])
         stop = start + F.length(x["values"])
         span = F.named_struct(F.lit("start"), start.cast("bigint"), F.lit("rank"), F.lit(rank), F.lit("stop"), stop.cast("bigint"), F.lit("value"), x["values"])
-        return F.named_struct(F.lit("pos"), stop.cast("bigint"), F.lit("out"), F.concat(acc["out"], F.array(span)))
+        return F.named_struct(F.lit("pos"), stop.cast("bigint"), F.lit("out"), added(acc["out"], span, x["values"]))
+
+    def added(out: Column, span: Column, value: Column) -> Column:
+        more = F.concat(out, F.array(span))
+        return more if wanted is None else F.when(wanted(value), more).otherwise(out)
 
     n = F.size(values)
     zipped = F.arrays_zip(F.slice(pieces, F.lit(1), n).alias("pieces"), values.alias("values"))
@@ -116,17 +120,18 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", support: in
     d = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt"))
     base = d.select("key", "txt", *(spans_of(F.col("txt"), k).alias(k) for k in KINDS))
     hit = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
-    base = base.select(F.monotonically_increasing_id().alias("rid"), "key", *KINDS, F.when(hit, F.col("txt")).alias("txt")).checkpoint()
-    terms = _terms(d, base.filter("txt is not null"), support, disclosure)
-    out = base.join(terms, "rid", "left")
-    found = F.filter(located(F.col("txt"), TERM, len(KINDS)), lambda s: F.array_contains(F.col("terms"), F.lower(s["value"])))
+    base = base.select(F.monotonically_increasing_id().alias("rid"), "key", *KINDS, "txt", hit.alias("hit")).checkpoint()
+    terms = _terms(base, support, disclosure)
+    out = base.join(D.small(terms), "rid", "left").withColumn("txt", F.when(F.col("hit") | F.col("terms").isNotNull(), F.col("txt")))
+    found = located(F.col("txt"), TERM, len(KINDS), lambda v: F.array_contains(F.col("terms"), F.lower(v)))
     inside = lambda s: F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     term = F.when(F.col("terms").isNotNull(), F.filter(found, lambda s: ~inside(s))).otherwise(F.expr(_NONE))
     return out.select(F.col("key").alias(key), *KINDS, term.alias("term"), F.col("txt").alias("text"))
 
 
-def _terms(d: DataFrame, hits: DataFrame, support: int, disclosure: float) -> DataFrame:
-    """The rows (rid, terms): what gives away the values of each document that has some."""
+def _terms(base: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """The rows (rid, terms): the disclosing terms of each document that holds some."""
+    hits = base.filter("hit")
     values = F.concat(*KINDS)
     # no match of the patterns crosses a line
     ends = F.transform(values, lambda s: F.named_struct(F.lit("rank"), s["rank"].cast("string"), F.lit("value"), s["value"]))
@@ -137,7 +142,7 @@ def _terms(d: DataFrame, hits: DataFrame, support: int, disclosure: float) -> Da
     words = F.array_distinct(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)))
     pairs = lines.select("rid", F.xxhash64("line").alias("line"), F.explode(F.array_distinct("values")).alias("e"), words.alias("words")).select("rid", "line", F.concat_ws(":", "e.rank", "e.value").alias("e"), F.explode("words").alias("t"))
     n_e = pairs.select("e", "rid").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    total = F.lit(float(max(d.count(), 1)))
+    total = F.lit(float(max(base.count(), 1)))
     weight = F.when(F.col("lines") >= support, 1.0).otherwise(F.col("lines") / (F.col("lines") + support / 3))
     share = lambda n_t: F.log(F.col("weight") * F.col("n_et") * total / (F.col(n_t) * F.col("n_e"))) / F.log(total / F.col("n_e"))
     seen = pairs.groupBy("e", "t", "line").agg(F.lit(1).alias("one")).groupBy("e", "t").agg(F.count("*").alias("lines")).select("e", "t", weight.alias("weight"))
@@ -146,10 +151,10 @@ def _terms(d: DataFrame, hits: DataFrame, support: int, disclosure: float) -> Da
     both = pairs.select("e", "t", "rid").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).join(seen, ["e", "t"]).join(n_e, "e").join(n_near, "t")
     both = both.filter((F.col("n_e") < total) & (share("n_near") >= disclosure)).drop("n_near").checkpoint()
     wanted = both.select("t").distinct()
-    every = d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("txt"), F.lit(TERM), F.lit(0)))).alias("t"))
+    every = base.select("rid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("txt"), F.lit(TERM), F.lit(0)))).alias("t"))
     n_t = every.join(D.small(wanted), "t").groupBy("t").agg(F.count("*").alias("n_t"))
-    told = both.join(n_t, "t").filter(share("n_t") >= disclosure).select("e", "t")
-    return pairs.select("rid", "e").distinct().join(told, "e").groupBy("rid").agg(F.collect_set("t").alias("terms"))
+    told = both.join(n_t, "t").filter(share("n_t") >= disclosure).select("t").distinct().checkpoint()
+    return every.join(D.small(told), "t").groupBy("rid").agg(F.collect_set("t").alias("terms"))
 
 
 def clean(found: DataFrame, docs_text: str = "text") -> Column:

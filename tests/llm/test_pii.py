@@ -74,3 +74,13 @@ def test_rare_values(spark):
     assert got == {1200: "term:6:12,email:19:28"}
     few = df.filter("doc_id >= 1000")
     assert {r.doc_id: r.spans for r in pii.digest(pii.detect(few)).filter("spans <> ''").collect()} == {1200: "email:19:28"}
+
+
+def test_terms_without_value(spark):
+    """A disclosing term is a span in a document that lacks the value, too, and clean() has its text."""
+    texts = [f"words {i}\nquorble writes from bob@x.org" for i in range(6)] + [f"writes from words {i}" for i in range(60)] + ["Quorble from far"]
+    texts[:6] = [t.replace("writes", f"writes {i}") for i, t in enumerate(texts[:6])]
+    found = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {r.doc_id: (r.spans, r.c) for r in found.select("doc_id", pii.joined(F.concat(*pii.KINDS, "term")).alias("spans"), pii.clean(found).alias("c")).collect()}
+    assert rows[66] == ("term:0:7", "[TERM] from far") and rows[30] == ("", None)
+    assert "term:" in rows[0][0]

@@ -3,12 +3,13 @@
 Method. A word becomes its letters and digits, A-Z lowered; numbers, units after
 a number, and names (capitalised inside a sentence) become typed placeholders.
 The hashes of ``WINDOW`` such tokens in a row, at least half of them no
-placeholders, are looked up in the benchmark's. Hits of one item on one
-diagonal (a few places may shift) give the part of the item's windows that the
-document holds. Then the slots are compared: a value of the item must stand for
-one value of the document wherever it occurs. An item whose windows are held to
-``COVER`` or more, with consistent slots, is a leak, whether its numbers and
-names were changed or not.
+placeholders, are looked up in the benchmark's; windows with about half
+placeholders or more by their literal words, too. Hits of one item on one
+diagonal join to segments, and segments of any diagonals chain in the order of
+both texts while the slots are consistent: a value of the item must stand for one
+value of the document wherever it occurs. An item of whose tokens a chain covers
+the part ``COVER`` or more is a leak, whether its numbers and names were changed
+or not, and so is one of which ``RUN`` tokens or more stand word for word.
 
 The documents are read once and not shuffled. The benchmark's windows are
 broadcast in blocks of items of at most ``BLOCK_BYTES`` of text, one pass over
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import _kernel as K
 
-WINDOW, LEAST, COVER, SHIFT = 8, 3, 0.5, 4
+WINDOW, LEAST, COVER, RUN = 8, 3, 0.5, 32
 
 #: Benchmark text that is broadcast at once.
 BLOCK_BYTES = 32 << 20
@@ -72,6 +73,7 @@ class Tokens:
         unit = np.isin(h, _UNITS) & before & after if _UNITS is not None else np.zeros(len(h), dtype=bool)
         ended = np.append(True, _ENDS[w.buf[self.end[:-1] - 1]]) if len(doc) else after
         name = (kind[begin] == 2) & (kind[np.minimum(begin + 1, len(kind) - 1)] >= 3) & after & ~ended
+        self.literal = h.copy()
         h[number], h[unit], h[name] = _MARK["number"], _MARK["unit"], _MARK["name"]
         self.hash, self.slot, self.doc = h, number | unit | name, doc
         # capitalised first words: inside another text they look like names
@@ -86,6 +88,15 @@ class Tokens:
         at = np.flatnonzero((self.doc[:n] == self.doc[size - 1 :]) & (2 * (slots[size:] - slots[:n]) <= size))
         return at, K.rolled(self.hash, size)[at] ^ K.mix(np.full(1, size, dtype=np.uint64))
 
+    def literals(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start tokens of the windows with about half slots or more (a first word may be a name elsewhere), and the hashes of their words."""
+        n = len(self.hash) - size + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        slots = np.concatenate(([0], np.cumsum(self.slot)))
+        at = np.flatnonzero((self.doc[:n] == self.doc[size - 1 :]) & (2 * (slots[size:] - slots[:n] + 1) > size))
+        return at, K.rolled(self.literal, size)[at] ^ K.mix(np.full(1, size + (1 << 32), dtype=np.uint64))
+
     def value(self, token: int) -> bytes:
         return bytes(self.words.buf[self.begin[token] : self.end[token]]).strip(b".,;:!?()[]{}\"'").lower()
 
@@ -103,13 +114,15 @@ class Block:
         n = np.diff(t.first)
         self.sizes = sorted({int(x) for x in n if LEAST <= x < WINDOW} | ({WINDOW} if (n >= WINDOW).any() else set()))
         h, at = [], []
-        self.total = np.zeros(len(items), dtype=np.int64)
         for size in self.sizes:
             start, hashes = t.windows(size)
             mine = np.minimum(n[t.doc[start]], WINDOW) == size
             h.append(hashes[mine])
             at.append(start[mine])
-            self.total += np.bincount(t.doc[start[mine]], minlength=len(items))
+            start, hashes = t.literals(size)
+            mine = np.minimum(n[t.doc[start]], WINDOW) == size
+            h.append(hashes[mine])
+            at.append(start[mine])
             plain, t.hash = t.hash, t.hash.copy()
             t.hash[t.maybe] = _MARK["name"]
             start, hashes = t.windows(size)
@@ -122,54 +135,79 @@ class Block:
         self.hash, self.at = h[order], at[order]
 
     def leaks(self, texts: list) -> Iterator[tuple[int, int, float, int, int]]:
-        """(document, item, part of the item's windows, slots, slots with other values)."""
+        """(document, item, part of the item's tokens, slots, slots with other values)."""
         if not len(self.hash):
             return
         t = Tokens(texts)
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for size in self.sizes:
-            start, h = t.windows(size)
-            low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            hit = np.flatnonzero(high > low)
-            for a, x, y in zip(start[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-                for i in self.at[x:y].tolist():
-                    item = int(self.tokens.doc[i])
-                    if min(WINDOW, self.tokens.first[item + 1] - self.tokens.first[item]) == size:
-                        found[int(t.doc[a]), item].append((a, i))
+            for start, h in (t.windows(size), t.literals(size)):
+                low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+                hit = np.flatnonzero(high > low)
+                for a, x, y in zip(start[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
+                    for i in self.at[x:y].tolist():
+                        item = int(self.tokens.doc[i])
+                        if min(WINDOW, self.tokens.first[item + 1] - self.tokens.first[item]) == size:
+                            found[int(t.doc[a]), item].append((a, i))
         for (doc, item), pairs in sorted(found.items()):
             best = self._best(t, item, pairs)
             if best is not None:
                 yield doc, item, *best
 
     def _best(self, t: Tokens, item: int, pairs: list[tuple[int, int]]) -> tuple[float, int, int] | None:
-        """The place with the largest part of the item, among those with consistent slots."""
+        """The chain that covers the largest part of the item, if that or an exact run makes it a leak."""
+        n = int(self.tokens.first[item + 1] - self.tokens.first[item])
+        size = min(WINDOW, n)
         pairs.sort(key=lambda p: (p[0] - p[1], p[0]))
-        size = min(WINDOW, int(self.tokens.first[item + 1] - self.tokens.first[item]))
-        best, k = None, 0
-        for k, (a, i) in enumerate(pairs):
-            if k and a - i == pairs[k - 1][0] - pairs[k - 1][1]:
-                continue
-            near = []
-            for b, j in pairs[k:]:
-                if b - j > a - i + SHIFT:
-                    break
-                near.append((b, j))
-            part = len({j for _, j in near}) / self.total[item]
-            if part < COVER or best and part <= best[0]:
+        # windows of a diagonal that touch or overlap, as [start in the document, start in the item, tokens]
+        segments: list[list[int]] = []
+        for a, i in pairs:
+            last = segments[-1] if segments else None
+            if last and a - i == last[0] - last[1] and a <= last[0] + last[2]:
+                last[2] = max(last[2], a + size - last[0])
+            else:
+                segments.append([a, i, size])
+        segments.sort()
+        exact = max((self._exact(t, *x) for x in segments if x[2] >= RUN), default=0)
+        # each chain: (tokens, end in the document, end in the item, what values stand for, slots, changed slots)
+        chains: list[tuple[int, int, int, dict, frozenset, frozenset]] = []
+        best = None
+        for a, i, k in segments:
+            own = None
+            for c in [(0, a, i, {}, frozenset(), frozenset()), *chains]:
+                over = max(0, c[1] - a, c[2] - i)
+                if over >= k or a + over - c[1] > n or own and c[0] + k - over <= own[0]:
+                    continue
+                slots = self._slots(t, a + over, i + over, k - over, c[3])
+                if slots is not None:
+                    stands, places, changed = slots
+                    own = c[0] + k - over, a + k, i + k, stands, c[4] | places, c[5] | changed
+            if own is None:
                 continue
-            stands: dict[bytes, bytes] = {}
-            places, changed, same = set(), set(), True
-            for b, j in near:
-                for o in range(size):
-                    if t.slot[b + o] and (j + o, b + o) not in places:
-                        places.add((j + o, b + o))
-                        x, y = self.tokens.value(j + o), t.value(b + o)
-                        same &= stands.setdefault(x, y) == y
-                        if x != y:
-                            changed.add(j + o)
-            if same:
-                best = part, len({j for j, _ in places}), len(changed)
-        return best
+            # only what ends less than an item's length ago can go on
+            chains = [c for c in chains if a - c[1] <= n] + [own]
+            if best is None or own[0] > best[0]:
+                best = own
+        if best is not None and best[0] >= COVER * n:
+            return best[0] / n, len(best[4]), len(best[5])
+        return (exact / n, 0, 0) if exact >= RUN else None
+
+    def _exact(self, t: Tokens, a: int, i: int, k: int) -> int:
+        """The longest run of equal words of a segment."""
+        other = np.flatnonzero(t.literal[a : a + k] != self.tokens.literal[i : i + k])
+        return int(np.diff(np.concatenate(([-1], other, [k]))).max()) - 1
+
+    def _slots(self, t: Tokens, a: int, i: int, k: int, stands: dict) -> tuple[dict, frozenset, frozenset] | None:
+        """``stands`` with the slots of a segment, and the places of those in the item; none if a value stands for two."""
+        stands, places, changed = dict(stands), set(), set()
+        for o in np.flatnonzero(t.slot[a : a + k]).tolist():
+            x, y = self.tokens.value(i + o), t.value(a + o)
+            if stands.setdefault(x, y) != y:
+                return None
+            places.add(i + o)
+            if x != y:
+                changed.add(i + o)
+        return stands, frozenset(places), frozenset(changed)
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Block]:

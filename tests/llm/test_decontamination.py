@@ -44,3 +44,18 @@ def test_table(spark, sf_dir):
         grams = {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
         mine = words[i]
         assert sum(tuple(mine[j : j + 3]) in grams for j in range(len(mine) - 2)) >= 0.3 * (len(mine) - 2), (k, i)
+
+
+def test_edited_copies(spark):
+    """Changed and inserted words, a long part of a long item, and items of numbers only."""
+    item = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(36))
+    w = item.split()
+    changed = " ".join("other" if i in (10, 24) else x for i, x in enumerate(w))
+    inserted = " ".join(w[:18] + ["some", "five", "words", "more", "here"] + w[18:])
+    long = " ".join(f"v{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
+    sums = "What is 12 + 35 - 7 * 3 + 18 / 9 - 4 + 6?"
+    docs = [(1, f"lorem {changed} ipsum"), (2, f"lorem {inserted} ipsum"), (3, " ".join(["lorem", *long.split()[30:70], "ipsum"])), (4, f"lorem ipsum. {sums} dolor")]
+    docs += [(5, " ".join(w[:9])), (6, " ".join(long.split()[:20])), (7, "lorem ipsum. What is 13 + 35 - 7 * 3 + 19 / 9 - 4 + 6? dolor"), (8, " ".join(w[18:] + w[:9]))]
+    d, b = tables(spark, docs, [(100, item), (101, long), (102, sums)])
+    got = {(r.doc_id, r.item_id): r.cover for r in dc.leaks(d, b).collect()}
+    assert {k: round(v, 2) for k, v in got.items()} == {(1, 100): 0.94, (2, 100): 1.0, (3, 101): 0.4, (4, 102): 1.0, (8, 100): 0.5}

@@ -1,17 +1,24 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
 Method. The features of a text are its words (letters and digits, A-Z lowered)
-and their first four and six bytes. From a bounded sample of labelled rows (``EXAMPLES``
-of each label, by a hash of the id) the features are chosen that tell the labels
-apart (``FEATURES`` at most, by chi-square). Their inverse document frequencies
-are counted on all documents. The examples lie in an inverted index: for each
-feature its postings by blocks of ``BLOCK`` examples, and the largest weight of
-each block. A text's blocks are taken by their upper bound, largest first, until
-the bound is below the ``K``-th best cosine; the rest cannot hold a nearer
-example, so the neighbours are exact. They vote by cosine, with the labelled
-rows' share as a prior; a monotone fit of the examples' leave-one-out votes,
-each label at its true share, makes the score a probability. The neighbours are
-returned as evidence.
+and the first ``STEMS`` bytes of longer ones. The examples are a bounded sample of
+labelled rows (``EXAMPLES`` of each label, by a hash of the id), and their features,
+all of them, are the vocabulary; document frequencies are counted on all documents. A
+feature of a text weighs (1 + ln count) * idf * relevance, and vectors have the
+length 1. The relevance is how far a feature tells the labels apart: the absolute
+log ratio of its shares among the examples of either label, with ``SHRINK`` examples
+of neither mixed in; without it the common words of a language decide which texts
+are near. The examples lie in an inverted index: for each feature its postings by
+blocks of ``BLOCK`` examples, and the largest weight of each block. A text's blocks
+are taken by their upper bound, largest first, until the bound is below the
+``NEIGHBOURS``-th best cosine; the rest cannot hold a nearer example, so the
+neighbours are exact. They vote by cosine, with the labelled rows' share as a prior.
+A monotone fit makes the vote a probability: each example votes in an index whose
+relevance and neighbours come from the other ``FOLDS`` - 1 parts of the examples, and
+each label counts at its true share. The neighbours are returned as evidence.
+
+STEMS and SHRINK were chosen by four-fold cross-validation on the training rows of
+two tables; no held-out label was read for it.
 
 Defined results: a null, empty or featureless text gets the score of a text
 without votes; equal cosines are ordered by example; rows that repeat an id have
@@ -32,8 +39,11 @@ from pyspark.sql import functions as F
 from foldspark.llm import _frames as D
 from foldspark.llm import _kernel as K
 
-#: Examples of each label, features, examples of a block, neighbours that vote, and the weight of the prior.
-EXAMPLES, FEATURES, BLOCK, NEIGHBOURS, PRIOR = 2048, 4096, 64, 15, 0.5
+#: Examples of each label, examples of a block, neighbours that vote, and the weight of the prior.
+EXAMPLES, BLOCK, NEIGHBOURS, PRIOR = 2048, 64, 15, 0.5
+
+#: Examples of neither label that a feature's relevance is mixed with, its least value, and the parts that calibrate.
+SHRINK, LEAST, FOLDS = 16, 1e-3, 4
 
 #: First bytes of a longer word that are features of their own.
 STEMS = (4, 6)
@@ -62,101 +72,124 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v[head], np.diff(np.append(head, len(v))), bounds
 
 
+Example = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def relevance(vocabulary: np.ndarray, examples: list[Example]) -> np.ndarray:
+    """How far each feature tells the examples' labels apart."""
+    n = [sum(1 - y for _, y, _, _ in examples), sum(y for _, y, _, _ in examples)]
+    if not all(n):
+        return np.ones(len(vocabulary))
+    seen = [np.bincount(np.searchsorted(vocabulary, np.concatenate([f for _, y, f, _ in examples if y == k])), minlength=len(vocabulary)) for k in (0, 1)]
+    part = n[1] / (n[0] + n[1])
+    return np.abs(np.log((seen[1] + SHRINK * part) / (seen[0] + SHRINK * (1 - part)) * (n[0] / n[1]))) + LEAST
+
+
 class Index:
-    """The chosen features, their weights, and the examples by feature and block."""
+    """The features, their weights, and the examples by feature and block."""
 
-    def __init__(self, vocabulary: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: float) -> None:
+    def __init__(self, vocabulary: np.ndarray, examples: list[Example], share: float, idf: np.ndarray) -> None:
         self.vocabulary, self.share = vocabulary, share
-        self.raw = examples
-
-    def weigh(self, df: np.ndarray, total: int) -> None:
-        self.idf = np.log((1.0 + total) / (1.0 + df)) + 1e-9
-        vectors = [self.vector(f, c) for _, _, f, c in self.raw]
+        self.weights = idf * relevance(vocabulary, examples)
+        vectors = [self.vector(f, c) for _, _, f, c in examples]
         some = [i for i, (at, _) in enumerate(vectors) if len(at)]
         # examples with the same strongest feature lie together, so the blocks' bounds are tight
         some.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))
-        self.ids = np.array([self.raw[i][0] for i in some], dtype=np.int64)
-        self.labels = np.array([self.raw[i][1] for i in some], dtype=np.float64)
-        self.none = np.array([y for i, (_, y, _, _) in enumerate(self.raw) if not len(vectors[i][0])])
-        n, self.blocks = len(some), -(-len(some) // BLOCK)
+        self.ids = np.array([examples[i][0] for i in some], dtype=np.int64)
+        self.labels = np.array([examples[i][1] for i in some], dtype=np.float64)
+        self.blocks = -(-len(some) // BLOCK)
         f = np.concatenate([vectors[i][0] for i in some]) if some else np.zeros(0, dtype=np.int64)
-        x = np.repeat(np.arange(n), [len(vectors[i][0]) for i in some])
+        x = np.repeat(np.arange(len(some)), [len(vectors[i][0]) for i in some])
         w = np.concatenate([vectors[i][1] for i in some]) if some else np.zeros(0)
         order = np.lexsort((x, f))
-        self.example, self.weight = x[order], w[order]
-        self.start = np.searchsorted(f[order], np.arange(len(self.vocabulary) + 1))
-        self.most = np.zeros((len(self.vocabulary), max(1, self.blocks)))
-        np.maximum.at(self.most, (f, x // BLOCK), w)
-        self.vectors = [vectors[i] for i in some]
-        del self.raw
+        f, x, w = f[order], x[order], w[order]
+        # an entry is a feature and a block: its postings, and the largest weight among them
+        head = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (x[1:] // BLOCK != x[:-1] // BLOCK))) if len(f) else np.zeros(0, dtype=np.int64)
+        self.example, self.weight = x.astype(np.int32), w
+        self.start = np.append(head, len(f))
+        self.block = (x[head] // BLOCK).astype(np.int32)
+        self.top = np.maximum.reduceat(w, head) if len(f) else w
+        self.first = np.searchsorted(f[head], np.arange(len(vocabulary) + 1))
 
     def vector(self, f: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(feature numbers, weights of length 1)."""
+        if not len(self.vocabulary):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
         at = np.searchsorted(self.vocabulary, f)
         at[at == len(self.vocabulary)] = 0
-        hit = self.vocabulary[at] == f if len(self.vocabulary) else np.zeros(len(f), dtype=bool)
-        at, w = at[hit], (1 + np.log(count[hit])) * self.idf[at[hit]]
+        hit = self.vocabulary[at] == f
+        at, w = at[hit], (1 + np.log(count[hit])) * self.weights[at[hit]]
         return at, w / max(1e-12, np.sqrt((w * w).sum()))
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine over 0, and the cosines."""
         if not len(at) or not self.blocks:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        bound = w @ self.most[at]
+        lens = self.first[at + 1] - self.first[at]
+        entry, w = K.ragged(self.first[at], lens), np.repeat(w, lens)
+        block = self.block[entry]
+        bound = np.bincount(block, weights=w * self.top[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        best, cosine, low, done, step = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, 0, 2
+        best, cosine, low, done, step = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, 0, 4
+        place = np.full(self.blocks, -1)
         while done < len(order) and bound[order[done]] > 0 and (len(best) < k or bound[order[done]] >= low - 1e-9):
-            taken = order[done : done + step]
-            scores = self._scores(at, w, taken)
-            x = (np.sort(taken)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = (scores > 0) & (x != skip)
-            best, cosine = np.concatenate((best, x[keep])), np.concatenate((cosine, scores[keep]))
-            top = np.lexsort((best, -np.round(cosine, 9)))[:k]
+            taken = np.sort(order[done : done + step])
+            place[:] = -1
+            place[taken] = np.arange(len(taken))
+            mine = np.flatnonzero(place[block] >= 0)
+            begin = self.start[entry[mine]]
+            size = self.start[entry[mine] + 1] - begin
+            x = self.example[K.ragged(begin, size)]
+            scores = np.bincount(place[x // BLOCK] * BLOCK + x % BLOCK, weights=np.repeat(w[mine], size) * self.weight[K.ragged(begin, size)], minlength=len(taken) * BLOCK)
+            keep = np.flatnonzero(scores > 0)
+            best, cosine = np.concatenate((best, taken[keep // BLOCK] * BLOCK + keep % BLOCK)), np.concatenate((cosine, scores[keep]))
+            top = np.lexsort((self.ids[best], -np.round(cosine, 9)))[:k]
             best, cosine = best[top], cosine[top]
             low = cosine[-1] if len(cosine) == k else 0.0
             done, step = done + step, step * 2
         return best, cosine
 
-    def _scores(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines of all examples of the blocks, by block number."""
-        place = np.full(self.blocks, -1, dtype=np.int64)
-        place[np.sort(blocks)] = np.arange(len(blocks))
-        lens = self.start[at + 1] - self.start[at]
-        post = K.ragged(self.start[at], lens)
-        x = self.example[post]
-        p = place[x // BLOCK]
-        some = p >= 0
-        return np.bincount(p[some] * BLOCK + x[some] % BLOCK, weights=(np.repeat(w, lens) * self.weight[post])[some], minlength=len(blocks) * BLOCK)
-
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         return float(((cosine * self.labels[best]).sum() + PRIOR * self.share) / (cosine.sum() + PRIOR))
 
-    def calibrate(self) -> None:
-        """A monotone map of votes to probabilities (pool adjacent violators), from leave-one-out votes with the labels at their true shares."""
-        votes = [self.vote(*self.nearest(*v, skip=i)) for i, v in enumerate(self.vectors)] + [self.share] * len(self.none)
-        y = np.concatenate((self.labels, self.none)) if len(votes) else np.zeros(0)
-        toxic = max(1.0, y.sum())
-        clean = max(1.0, len(y) - y.sum())
-        weight = np.where(y > 0, self.share / toxic, (1 - self.share) / clean)
-        order = np.argsort(votes, kind="stable")
-        pools: list[list[float]] = []
-        for i in order.tolist():
-            if pools and pools[-1][3] == votes[i]:
-                pools[-1][0] += weight[i] * y[i]
-                pools[-1][1] += weight[i]
-            else:
-                pools.append([weight[i] * y[i], weight[i], votes[i], votes[i]])
-            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-                a = pools.pop()
-                pools[-1][0] += a[0]
-                pools[-1][1] += a[1]
-                pools[-1][3] = a[3]
-        self.knots = np.array([x for p in pools for x in ((p[2], p[0] / p[1]), (p[3], p[0] / p[1]))]).reshape(-1, 2)
-
-    def score(self, f: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray]:
+    def voted(self, f: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray]:
+        """The vote on a text, and the ids of the nearest examples."""
         best, cosine = self.nearest(*self.vector(f, count))
-        v = self.vote(best, cosine)
-        return (float(np.interp(v, self.knots[:, 0], self.knots[:, 1])) if len(self.knots) else self.share), self.ids[best[:3]]
+        return self.vote(best, cosine), self.ids[best[:3]]
+
+
+def rising(votes: list[float], labels: list[int], share: float) -> np.ndarray:
+    """The knots (vote, probability) of the monotone fit (pool adjacent violators), each label at its true share."""
+    toxic = max(1, sum(labels))
+    clean = max(1, len(labels) - sum(labels))
+    pools: list[list[float]] = []
+    for v, y in sorted(zip(votes, labels, strict=True)):
+        w = share / toxic if y else (1 - share) / clean
+        if pools and pools[-1][3] == v:
+            pools[-1][0] += w * y
+            pools[-1][1] += w
+        else:
+            pools.append([w * y, w, v, v])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            a = pools.pop()
+            pools[-1][0] += a[0]
+            pools[-1][1] += a[1]
+            pools[-1][3] = a[3]
+    return np.array([x for p in pools for x in ((p[2], p[0] / p[1]), (p[3], p[0] / p[1]))]).reshape(-1, 2)
+
+
+def calibrated(vocabulary: np.ndarray, examples: list[Example], share: float, idf: np.ndarray) -> np.ndarray:
+    """The knots of ``rising``, from votes of examples that the index they ask doesn't hold."""
+    if len({y for _, y, _, _ in examples}) < 2:
+        return np.zeros((0, 2))
+    votes, labels = [], []
+    for part in range(FOLDS):
+        # the labels are apart in the list of examples; each part has its share of both
+        mine = [e for i, e in enumerate(examples) if i % FOLDS == part]
+        index = Index(vocabulary, [e for i, e in enumerate(examples) if i % FOLDS != part], share, idf)
+        votes += [index.voted(f, c)[0] for _, _, f, c in mine]
+        labels += [y for _, y, _, _ in mine]
+    return rising(votes, labels, share)
 
 
 def held_out(key: Column) -> Column:
@@ -179,39 +212,23 @@ def _examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), K.lists(f.view(np.int64), np.diff(bounds), pa.int64()), K.lists(c.astype(np.int32), np.diff(bounds), pa.int32())], names=["id", "y", "f", "c"])
 
     found = rows.mapInArrow(run, "id long, y int, f array<long>, c array<int>").toArrow()
+    # rows that repeat an id have one label and maybe several texts; the first by its features is the example
     out, seen = [], set()
-    for i in np.lexsort((found.column("y").to_numpy(), found.column("id").to_numpy())).tolist() if found.num_rows else []:
-        if (k := found.column("id")[i].as_py()) not in seen:
-            seen.add(k)
-            out.append((k, int(found.column("y")[i].as_py() > 0), found.column("f")[i].values.to_numpy().view(np.uint64), found.column("c")[i].values.to_numpy()))
+    for r in sorted(found.to_pylist(), key=lambda r: (-r["y"], r["id"], r["f"])):
+        if r["id"] not in seen:
+            seen.add(r["id"])
+            out.append((r["id"], int(r["y"] > 0), np.array(r["f"], dtype=np.int64).view(np.uint64), np.array(r["c"])))
     return out, float(share)
 
 
-def chosen(examples: list, most: int = FEATURES) -> np.ndarray:
-    """The features that tell the labels apart: chi-square over 28 (a chance of a thousandth for the best of ten thousand features), the largest first."""
-    n = [sum(1 - y for _, y, _, _ in examples), sum(y for _, y, _, _ in examples)]
-    if not all(n):
-        return np.zeros(0, dtype=np.uint64)
-    f = np.concatenate([f for _, _, f, _ in examples])
-    y = np.repeat([y for _, y, _, _ in examples], [len(f) for _, _, f, _ in examples])
-    kinds, at = np.unique(f, return_inverse=True)
-    b = np.bincount(at, weights=y, minlength=len(kinds))
-    a = np.bincount(at, minlength=len(kinds)) - b
-    total = n[0] + n[1]
-    chi = total * (a * (n[1] - b) - b * (n[0] - a)) ** 2 / np.maximum(1, (a + b) * (total - a - b) * n[0] * n[1])
-    # what marks the second label only: a text without any feature is as good as its like
-    ok = np.flatnonzero((chi > 28) & (a + b >= 3) & (b * n[0] > a * n[1]))
-    return np.sort(kinds[ok[np.lexsort((kinds[ok], -chi[ok]))][:most]])
-
-
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
-    """The rows (key, held_out, score, predicted, neighbours) of every document."""
+    """The rows (key, held_out, score, predicted, neighbours, vote) of every document."""
     spark = docs.sparkSession
     D.small_batches(spark)
     rows, share = _examples(docs, labels, key, text, label, examples)
-    index = Index(chosen(rows), rows, share)
+    words = np.unique(np.concatenate([f for _, _, f, _ in rows])) if rows else np.zeros(0, dtype=np.uint64)
     d = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("txt"))
-    vocabulary = spark.sparkContext.broadcast(index.vocabulary)
+    vocabulary = spark.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
@@ -227,28 +244,27 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["f", "n"])
 
-    df = np.zeros(len(index.vocabulary), dtype=np.int64)
-    total = 0
-    for r in d.select("txt").mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
-        if r.f < 0:
-            total = r.n
-        else:
-            df[r.f] = r.n
-    index.weigh(df, total)
-    index.calibrate()
-    held = spark.sparkContext.broadcast(index)
+    found = d.select("txt").mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(words) + 1, dtype=np.int64)
+    # the number of documents stands last
+    df[found.column("f").to_numpy()] = found.column("n").to_numpy()
+    idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1e-9
+    held = spark.sparkContext.broadcast((Index(words, rows, share, idf), calibrated(words, rows, share, idf)))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
+        index, knots = held.value
         for batch in batches:
             texts = K.texts_of(batch.column(1))
             for a, b in K.slices(texts):
                 f, c, bounds = features(texts[a:b])
-                got = [index.score(f[x:y], c[x:y]) for x, y in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+                got = [index.voted(f[x:y], c[x:y]) for x, y in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+                votes = np.array([v for v, _ in got])
+                scores = np.interp(votes, knots[:, 0], knots[:, 1]) if len(knots) else np.full(len(got), index.share)
                 near = [n for _, n in got]
                 flat = np.concatenate(near) if near else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s for s, _ in got], type=pa.float64()), K.lists(flat, np.array([len(n) for n in near]), pa.int64())], names=["id", "score", "neighbours"])
+                columns = [batch.column(0).slice(a, b - a), pa.array(scores), K.lists(flat, np.array([len(n) for n in near]), pa.int64()), pa.array(votes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "score", "neighbours", "vote"])
 
-    out = d.mapInArrow(run, f"id {kind}, score double, neighbours array<long>")
-    return out.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
+    out = d.mapInArrow(run, f"id {kind}, score double, neighbours array<long>, vote double")
+    return out.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "vote")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.llm import bpe, decontamination, license_scan, line_dedup, ngram_jaccard, oracles, pii, quality_rules, sharding, substring_dedup, toxicity
 
-#: Where the public vocabulary files lie on this machine; a parameter of the operator.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: The public vocabulary file, where the package of tokenizers says; a parameter of the operator.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +31,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"), run=3, gram=2)
 
 
-#: The verdict's threshold on the mean log ratio. Of 3409 labelled good documents of the 0.1 tables the lowest scores -0.057.
-KEEP_FROM = -0.075
-
-
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
-    return quality_rules.report(table(spark, sf_dir, "documents"), trusted, KEEP_FROM)
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.report(docs, *quality_rules.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 #: The old layout: the documents lie in this many shards, by a check sum of their id. The new one has 40 equal ones.

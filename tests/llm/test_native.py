@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -37,14 +38,15 @@ def test_quality_counts(spark, sf_dir):
     rows += [(300, None), (301, ""), (302, "x\x0b\x0cy|\n\n x \nx\n x "), (303, "w " * 20_000), (304, "é😀 <&>" * 30), (None, "a b"), (None, "a b")]
     rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     df = frame(spark, rows)
-    got = quality_rules.report(df, df.filter("doc_id % 3 = 0"), -10.0).collect()
+    got = quality_rules.report(df, quality_rules.ratios(df, df.filter("doc_id % 3 = 0")), -10.0).collect()
     assert len(got) == len(rows)
     texts = dict(rows[:-1]) | dict(rows)
     for r in got:
         assert tuple(r)[1:7] == counts(texts[r.doc_id]), r.doc_id
         assert r.kept == (not r.base_failed)
-    assert quality_rules.report(df.filter("false"), df, 0.0).count() == 0
-    none = quality_rules.report(df, df.filter("false"), 0.5).collect()
+    none = df.filter("false")
+    assert quality_rules.report(none, quality_rules.ratios(none, df), 0.0).count() == 0
+    none = quality_rules.report(df, quality_rules.ratios(df, none), 0.5).collect()
     assert {r.score for r in none} == {0.0} and not any(r.kept for r in none)
 
 
@@ -53,7 +55,7 @@ def test_quality_scores(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["a", "b", "c", "d", "zz" if i % 2 else "e"]) for _ in range(40))) for i in range(60)]
     df = frame(spark, rows)
-    buckets = quality_rules.buckets_for(len(rows))
+    buckets, even = quality_rules.BUCKETS, quality_rules.MIX / quality_rules.BUCKETS
     hashed = {r.w: r.h for r in spark.createDataFrame([(x,) for x in ["a", "b", "c", "d", "e", "zz"]], "w string").withColumn("h", F.xxhash64("w")).collect()}
     pairs = {(r.a, r.b): r.h for r in spark.createDataFrame([(a, b) for a in hashed.values() for b in hashed.values()], "a long, b long").withColumn("h", F.xxhash64("a", "b")).collect()}
 
@@ -66,13 +68,60 @@ def test_quality_scores(spark):
         raw.update(grams(t))
         if k % 2 == 0:
             good.update(grams(t))
-    ratio = lambda b: math.log((good[b] + 1) / (sum(good.values()) + buckets)) - math.log((raw[b] + 1) / (sum(raw.values()) + buckets))
+    ratio = lambda b: math.log(good[b] / sum(good.values()) + even) - math.log(raw[b] / sum(raw.values()) + even)
     want = {k: sum(map(ratio, g := grams(t))) / len(g) for k, t in rows}
-    got = {r.doc_id: r.score for r in quality_rules.report(df, df.filter("doc_id % 2 = 0"), 0.0).collect()}
+    got = {r.doc_id: r.score for r in quality_rules.report(df, quality_rules.ratios(df, df.filter("doc_id % 2 = 0")), 0.0).collect()}
     assert got == pytest.approx(want)
     assert min(v for k, v in want.items() if k % 2 == 0) > max(v for k, v in want.items() if k % 2)
 
 
+def test_quality_size(spark, sf_dir):
+    """The same documents keep their verdicts when copies of all are added, and most of them when other documents are."""
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    verdicts = lambda d: {r.doc_id: r.kept for r in quality_rules.report(d, *quality_rules.fitted(d, labels)).collect()}
+    one = verdicts(docs)
+    copies = docs
+    for i in range(1, 4):
+        copies = copies.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000 * i))
+    four = verdicts(copies)
+    assert all(four[k + 1_000_000 * i] == v for k, v in one.items() for i in range(4))
+    half = verdicts(docs.filter("doc_id % 2 = 0"))
+    # four labelled bad rows fit the threshold of the half
+    assert sum(one[k] == v for k, v in half.items()) >= 0.95 * len(half)
+    # labels that neither the target nor the threshold has seen don't exist; those of the threshold's rows are not the target's
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % quality_rules.FOLDS == 0]
+    good, bad = ([one[k] for k in held if truth[k] == q and k in one] for q in (1, 0))
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_quality_threshold(spark):
+    assert quality_rules.split_point([]) == quality_rules.split_point([(1.0, 1)]) == quality_rules.DEFAULT
+    assert quality_rules.split_point([(0.0, 0), (1.0, 1)]) == pytest.approx(0.1)
+    assert quality_rules.split_point([(-2.0, 0), (1.0, 1)]) == quality_rules.DEFAULT
+    assert quality_rules.split_point([(-2.0, 0), (-1.0, 0), (-1.0, 1), (0.0, 1), (0.0, 1), (3.0, 0)]) == pytest.approx(-1.1)
+    rng = random.Random(4)
+    for _ in range(50):
+        rows = [(rng.randrange(6) / 2, rng.randrange(2)) for _ in range(rng.randrange(2, 12))]
+        n = [sum(y == k for _, y in rows) for k in (0, 1)]
+        if all(n):
+            gain = lambda t: sum((s >= t) / n[1] for s, y in rows if y) + sum((s < t) / n[0] for s, y in rows if not y)
+            cuts = [-1, *(x + 0.25 for x in {s for s, _ in rows} - {max(rows)[0]})]  # above all rows is no threshold
+            assert gain(quality_rules.split_point(rows)) == pytest.approx(max(map(gain, cuts)))
+    docs = spark.createDataFrame([(1, "a"), (None, None), (None, "")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (None, 1), (1, 0), (1, 1)], "doc_id long, quality int")
+    assert {(r.score, r.kept) for r in quality_rules.report(docs, *quality_rules.fitted(docs, odd)).collect()} == {(0.0, False)}
+
+
+def test_quality_columns(spark):
+    """Columns with the names of inner ones pass through; of two of a name in other letters, too."""
+    docs = spark.createDataFrame([(1, "a b " * 30, 1, 2, 3, 4)], "doc_id long, text string, _words int, _table int, row int, m int")
+    out = quality_rules.judged(docs, quality_rules.ratios(docs, docs), -9.0)
+    assert out.columns == [*docs.columns, "_w", "_base_failed", "_score", "_kept"] and tuple(out.first())[2:6] == (1, 2, 3, 4)
+    assert quality_rules.kept(docs, docs.selectExpr("doc_id", "1 as quality")).columns == docs.columns
+
+
 def line_brute(rows, run=3):
     seen, out = {}, {}
     cut = lambda s: s.strip(" \t\n\x0b\x0c\r")

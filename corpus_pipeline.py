@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import bpe, decontamination, line_dedup, ngram_jaccard, quality_rules
 from foldspark.llm._frames import small
-from foldspark.llm.queries import KEEP_FROM, VOCABULARY, table
+from foldspark.llm.queries import VOCABULARY, table
 
 #: Runs of one or two lines that hold more words than this are passages to look for; shorter ones may be common phrases.
 SHORT_WORDS = 50
@@ -19,8 +19,7 @@ SHORT_WORDS = 50
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counting rules or the ratio reject go. The trusted target is what the labels call good."""
-    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
-    return quality_rules.judged(docs, trusted, KEEP_FROM).filter("_kept").select(*docs.columns)
+    return quality_rules.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

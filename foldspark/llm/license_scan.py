@@ -1,27 +1,35 @@
 """Licence statements in texts, by exact set-similarity join with template texts.
 
-Method. A block is a line of a text, its set the distinct words of the line. It
-matches a template when it holds ``threshold`` of the template's words or more.
-The words of all templates are ordered by the number of documents that hold
-them, rarest first (counted on the whole corpus). A block that meets the
-threshold o of a template has one of its first |T| - o + 1 words (prefix filter)
-and o words at least (length filter), and from the first shared word on both
-have enough words left (positional filter); what passes is counted exactly.
+Method. The words of a text run on over its lines. A block is any run of as many
+words as a template has and a quarter more, its set the distinct words in it. It
+matches the template when it holds ``threshold`` of the template's distinct words or
+more; so statements may be wrapped, indented or behind comment marks. The words of all
+templates are ordered by the number of documents that hold them, rarest first (counted
+on the whole corpus). A text with a block that meets the threshold o of a template T has
+one of its first |T| - o + 1 words (prefix filter: a table from prefix words to
+templates gives the candidates), and o of its words at least (length filter). Only blocks
+that begin with a word of T are looked at, as others hold no more of them, and only where
+the o-th such word from there on still lies in the block (positional filter); what
+passes is counted exactly.
 
 The base rule is apart: three phrases, as consecutive words anywhere.
 
 All of it is DataFrame expressions; the templates and the counts of their words
-(some hundred numbers) are parameters, the corpus is read twice and not shuffled.
-
-Defined results: A-Z count as a-z; a null or empty text has no words; a phrase
-may cross lines, a block may not; blocks that occur several times count once
-each; repeated rows and null ids each return a row; other columns are not read.
+are parameters, held in one row that each task gets, with words found by a check sum;
+so thousands of templates cost no more for each text. The corpus is read twice and not
+shuffled.
+
+Defined results: A-Z count as a-z; a null or empty text has no words; phrases and blocks
+may cross lines; of the blocks that match a template the best counts once; templates
+without words are none; repeated rows and null ids each return a row; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,45 +76,71 @@ def order_of(docs: DataFrame, text: str, templates=TEMPLATES) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (n.get(w, 0), w)))}
 
 
-def matches(blocks: Column, order: dict[str, int], threshold: float, templates=TEMPLATES) -> Column:
-    """(label, share) of every block and template that meet the threshold, for a list of lowered lines."""
-    vocabulary = F.array(*map(F.lit, sorted(order, key=order.get)))
+def _table(order: dict[str, int], threshold: float, templates) -> tuple[list, list, list]:
+    """(words by check sum, templates by prefix word, templates): words are their places in the order."""
+    size = 1 << max(4, (8 * len(order)).bit_length())
+    words: list[list[tuple[str, int]]] = [[] for _ in range(size)]
+    for w, i in order.items():
+        words[zlib.crc32(w.encode()) % size].append((w, i))
+    prefixes: list[list[int]] = [[] for _ in order]
     prepared = []
     for label, template in templates:
-        words = sorted(set(template.split()), key=order.get)
-        least = math.ceil(round(threshold * len(words), 9))
-        prepared.append((label, words, least))
+        every = template.split()
+        codes = sorted({order[w] for w in every})
+        least = math.ceil(round(threshold * len(codes), 9))
+        for c in codes[: len(codes) - least + 1] if codes else ():
+            prefixes[c].append(len(prepared))
+        prepared.append((label, codes, least, block_words(every)))
+    return words, prefixes, prepared
+
+
+def block_words(template: list[str]) -> int:
+    return len(template) + len(template) // 4
+
+
+def matches(words: Column, table: Column) -> Column:
+    """(label, share) of every template that a block of the lowered words meets."""
+
+    def code(w: Column) -> Column:
+        near = F.get(table["words"], F.pmod(F.crc32(w.cast("binary")), F.size(table["words"]).cast("long")).cast("int"))
+        return F.coalesce(F.get(F.filter(near, lambda x: x["w"] == w), F.lit(0))["c"], F.lit(-1))
+
+    def tested(hits: Column, t: Column) -> Column:
+        """(label, share) or null. hits: the places and codes of the text's words that templates have."""
 
-    def tested(ordered: Column, label: str, words: list[str], least: int) -> Column:
-        """(label, share) or null. ordered: the block's words that templates have, in the global order."""
-        template = F.array(*map(F.lit, words))
+        def best(mine: Column) -> Column:
+            def held(h: Column, k: Column) -> Column:
+                last = F.get(mine, k + t["least"] - 1)
+                inside = F.filter(F.slice(mine, k + 1, t["block"]), lambda x: x["i"] < h["i"] + t["block"])
+                return F.when(last["i"] < h["i"] + t["block"], F.size(F.array_distinct(F.transform(inside, lambda x: x["c"]))))
 
-        def counted(first: Column) -> Column:
-            """first: the first word of the prefix that the block holds."""
-            left = F.least(F.size(ordered) - F.array_position(ordered, first), F.lit(len(words)) - F.array_position(template, first)) + 1
-            both = F.size(F.array_intersect(ordered, template))
-            return F.when(left >= least, F.when(both >= least, F.named_struct(F.lit("label"), F.lit(label), F.lit("share"), both / F.lit(float(len(words))))))
+            return F.array_max(F.transform(mine, lambda h, k: held(h, k)))
 
-        shared = F.filter(F.array(*map(F.lit, words[: len(words) - least + 1])), lambda w: F.array_contains(ordered, w))
-        return F.when(F.size(ordered) >= least, D.let(shared, lambda s: F.when(F.size(s) > 0, D.let(F.get(s, F.lit(0)), counted))))
+        mine = F.filter(hits, lambda h: F.array_contains(t["codes"], h["c"]))
+        return D.let(D.let(mine, lambda m: F.when(F.size(m) >= t["least"], best(m))), lambda n: F.when(n >= t["least"], F.named_struct(F.lit("label"), t["label"], F.lit("share"), n / F.size(t["codes"]).cast("double"))))
 
-    def of(ordered: Column) -> Column:
-        return F.array_compact(F.array(*(tested(ordered, *p) for p in prepared)))
+    def of(hits: Column) -> Column:
+        some = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform(hits, lambda h: h["c"])), lambda c: F.get(table["prefixes"], c))))
+        return F.array_compact(F.transform(some, lambda i: tested(hits, F.get(table["templates"], i))))
 
-    in_order = lambda b: F.array_intersect(vocabulary, F.regexp_extract_all(b, F.lit(WORD), F.lit(0)))
-    return F.flatten(F.transform(blocks, lambda b: D.let(in_order(b), of)))
+    coded = F.transform(words, lambda w, i: F.named_struct(F.lit("i"), i, F.lit("c"), code(w)))
+    return D.let(F.filter(coded, lambda h: h["c"] >= 0), of)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
     """The rows (key, n_words, places, found): ``places`` (word, label) of the base phrases, ``found`` the matched templates (label, share)."""
     order = order_of(docs, text, templates)
-    d = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt"))
+    words, prefixes, prepared = _table(order, threshold, templates)
+    schema = "words array<array<struct<w:string,c:int>>>, prefixes array<array<int>>, templates array<struct<label:string,codes:array<int>,least:int,block:int>>"
+    # one row: some numbers for each word of a template
+    table = docs.sparkSession.createDataFrame([(words, prefixes, prepared)], schema).select(F.struct("*").alias("table"))
+    d = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt")).withColumn("table", table.scalar())
     # lower() is coarser than lowering A-Z only: it parts the same words, and finds all words of the phrases and templates
     # (others, too); so these tests lose nothing and spare most texts the rest
     d = d.withColumn("_words", F.regexp_extract_all(F.lower("txt"), F.lit(WORD), F.lit(0)))
-    holds = lambda words: F.arrays_overlap("_words", F.array(*map(F.lit, sorted(words))))
-    prefixes = {w for _, t in templates for ws in [sorted(set(t.split()), key=order.get)] for w in ws[: len(ws) - math.ceil(round(threshold * len(ws), 9)) + 1]}
-    lines = F.when(holds(prefixes), F.split("txt", "\n")).otherwise(F.expr("cast(array() as array<string>)"))
+    holds = lambda words: F.arrays_overlap("_words", F.array(*map(F.lit, sorted(words)))) if words else F.lit(False)
+    by_place = sorted(order, key=order.get)
+    starters = {by_place[c] for c, ts in enumerate(prefixes) if ts}
 
     def starts(words: Column, phrase: list[str], label: str) -> Column:
         def one(x: Column, i: Column) -> Column:
@@ -124,7 +158,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
         F.col("key").alias(key),
         F.size("_words").cast("long").alias("n_words"),
         F.when(holds({p.split()[-1] for p in PHRASES}), D.let(words, places)).otherwise(none).alias("places"),
-        matches(F.transform(lines, lowered), order, threshold, templates).alias("found"),
+        F.when(holds(starters), matches(words, F.col("table"))).otherwise(F.expr("cast(array() as array<struct<label:string,share:double>>)")).alias("found"),
     )
 
 

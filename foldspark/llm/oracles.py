@@ -42,7 +42,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.component_id FROM (SELECT doc
 
 
 def license_scan_sql(threshold: float = 0.8) -> str:
-    values = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in license_scan.TEMPLATES)
+    values = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')), {license_scan.block_words(text.split())})" for label, text in license_scan.TEMPLATES)
     places = []
     for phrase, label in license_scan.PHRASES.items():
         same = " AND ".join(f"words[i + {j}] = '{word}'" for j, word in enumerate(phrase.split()))
@@ -55,11 +55,13 @@ WITH low AS (
   SELECT doc_id, regexp_extract_all(t, '{pattern}') AS words FROM low
 ), place AS (
   {" UNION ALL ".join(places)}
-), template(label, tokens) AS (VALUES {values}), block AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(b, '{pattern}')) AS tokens FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM low)
+), template(label, tokens, size) AS (VALUES {values}), able AS (
+  SELECT doc_id, label, tokens, size, words FROM w JOIN template ON len(list_intersect(list_distinct(words), tokens)) >= round({threshold} * len(tokens), 9)
+), block AS (
+  SELECT doc_id, label, tokens, words[i:i + size - 1] AS b FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM able)
 ), found AS (
-  SELECT doc_id, template.label, len(list_intersect(block.tokens, template.tokens)) / len(template.tokens) AS share
-  FROM block JOIN template ON len(list_intersect(block.tokens, template.tokens)) >= round({threshold} * len(template.tokens), 9)
+  SELECT doc_id, label, len(list_intersect(list_distinct(b), tokens)) / len(tokens) AS share
+  FROM block WHERE len(list_intersect(list_distinct(b), tokens)) >= round({threshold} * len(tokens), 9)
 ), base AS (
   SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY 1
 ), own AS (

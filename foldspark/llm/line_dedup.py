@@ -6,20 +6,23 @@ the smallest is a fingerprint, so every run of ``run`` lines or more holds at
 least one, and equal runs hold the same. Fingerprints that stand at one place
 only end the matter for their windows. The others' windows (``run`` lines each,
 compared by 128 bits of hash) are joined with their earliest place by document
-id, then line; a window that also starts earlier goes. Windows overlap, so a
+id (an integer), then line; a window that also starts earlier goes. Windows overlap, so a
 longer match is extended both ways, line by line, as far as it goes.
 
 With ``words``, runs of fewer than ``run`` lines are windows, too, if they hold
 more than that many words; each is its own fingerprint and goes by the same rule.
 
 All of it is DataFrame expressions. Copies meet as partial minima, a row for
-each window and task, so no task gets a group's rows.
+each window and task, so no task gets a group's rows; nothing that follows a join
+in its stage needs a key's rows together, so Spark may split a frequent window's. A
+text's lines are swept in order, which takes time in proportion to their number.
 
 Defined results: equal means equal after white space at both ends is cut; a null
 or empty text has no lines and stays as it is; rows that share an id (or have
 none, which sorts first) count as one document, and a window that is removed in
 one is removed in each that holds it at this place; other columns pass through
-untouched, whatever their names.
+untouched, whatever their names, but for those with the names of the results
+(_n_lines, _n_removed, _n_short), which the results replace.
 """
 
 from __future__ import annotations
@@ -91,7 +94,7 @@ def removed(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", t
     d = k.select("id", F.posexplode(_windows(line_hashes(F.col("txt")), run, gram)).alias("at", "w")).select("id", "at", "w.*")
     # a document holds a fingerprint in several of its windows, too: only another place of the whole window makes it one to look at
     repeated = d.groupBy("f").agg(F.count("*").alias("n"), F.count_distinct("a", "b").alias("kinds")).filter("n > kinds").select("f")
-    late = _late(d.join(repeated, "f", "left_semi"), ["f", "a", "b"]).select("id", "at", F.lit(run).alias("n"))
+    late = _late(d.join(repeated, "f", "left_semi"), ["a", "b"]).select("id", "at", F.lit(run).alias("n"))
     if words is not None and run > 1:
         short = k.select("id", F.explode(_short_windows(F.col("txt"), run, words)).alias("w")).select("id", "w.*")
         late = late.unionByName(_late(short, ["n", "a", "b"]).select("id", "at", "n"))
@@ -101,31 +104,38 @@ def removed(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", t
 def dedup(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
     """``docs`` with the lines of repeated runs deleted from the text, and _n_lines and _n_removed added; with ``words``
     also _n_short, how many of the removed lines only shorter runs cover."""
-    gone = removed(docs, run, gram, key, text, words).select(F.col("id").alias("_id"), _places(F.col("starts")).alias("_gone"), _places(F.filter("starts", lambda s: s["n"] == run)).alias("_long"))
-    out = docs.withColumn("_id", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(D.NO_ID))).join(gone, "_id", "left")
-    lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")
-    # the place of each line among those with a word, and whether a removed window covers it
-    place = F.transform(lines, lambda x: x.rlike(WORD).cast("int"))
-    step = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    counted = F.aggregate(place, F.array(F.lit(0)), step)
-
-    def kept(seen: Column) -> Column:
-        return F.filter(lines, lambda x, i: ~(x.rlike(WORD) & F.array_contains("_gone", F.get(seen, i))))
-
-    out = out.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_join(D.let(counted, kept), "\n")))
-    total = F.size(F.filter(lines, lambda x: x.rlike(WORD)))
-    rest = F.size(F.filter(F.split("_left", "\n"), lambda x: x.rlike(WORD)))
-    out = out.withColumn("_n_lines", total.cast("long")).withColumn("_n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(total - rest).cast("long"))
+    gone = removed(docs, run, gram, key, text, words).select("id", _places(F.col("starts")).alias("gone"), _places(F.filter("starts", lambda s: s["n"] == run)).alias("long"))
+    id_ = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(D.NO_ID))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_.alias("id"), F.col(f"`{text}`").alias("txt")).join(gone, "id", "left")
+    lines = F.split(F.coalesce("txt", F.lit("")), "\n")
+    zero, plus = F.lit(0), lambda a, b: a + b
+
+    def swept(lines: Column) -> Column:
+        def left(has: Column) -> Column:
+            return D.let(F.aggregate(has, zero, plus), lambda total: counted(has, total))
+
+        def counted(has: Column, total: Column) -> Column:
+            # the place of each line among those with a word, and whether a removed window covers it
+            kept = D.let(D.scanned(has, zero, plus), lambda seen: D.let(D.flags(F.col("gone"), total), lambda out: F.filter(lines, lambda x, i: (F.get(has, i) == 0) | (F.get(out, F.get(seen, i)) == 0))))
+            # rows that share an id hold different lines: places beyond the last line are none
+            count = lambda a: F.size(F.filter(a, lambda p: p < total))
+            return F.struct(F.array_join(kept, "\n").alias("text"), total.alias("lines"), count(F.col("gone")).alias("removed"), count(F.col("long")).alias("long"))
+
+        return D.let(F.transform(lines, lambda x: x.rlike(WORD).cast("int")), left)
+
+    counted = F.size(F.filter(lines, lambda x: x.rlike(WORD)))
+    same = F.struct(F.col("txt").alias("text"), counted.alias("lines"), zero.alias("removed"), zero.alias("long"))
+    out = out.select("row", F.when(F.col("gone").isNull(), same).otherwise(D.let(lines, swept)).alias("s"))
+    added = {"_n_lines": F.col("s.lines"), "_n_removed": F.col("s.removed")}
     if words is not None:
-        # rows that share an id hold different lines: places beyond the last line are none
-        of_row = lambda a: F.size(F.filter(a, lambda p: p < F.col("_n_lines")))
-        out = out.withColumn("_n_short", F.when(F.col("_gone").isNull(), 0).otherwise(of_row("_gone") - of_row("_long")).cast("long"))
-    return out.withColumn(text, F.coalesce("_left", F.col(f"`{text}`"))).drop("_id", "_gone", "_long", "_left")
+        added["_n_short"] = F.col("s.removed") - F.col("s.long")
+    columns = [(F.col("s.text") if c == text else F.col("row")[c]).alias(c) for c in docs.columns if c not in added]
+    return out.select(*columns, *(v.cast("long").alias(k) for k, v in added.items()))
 
 
 def _places(windows: Column) -> Column:
-    """The lines that windows (at, n) cover."""
-    return F.array_distinct(F.flatten(F.transform(windows, lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
+    """The lines that windows (at, n) cover, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(windows, lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))))
 
 
 def report(docs: DataFrame, run: int = 3, gram: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

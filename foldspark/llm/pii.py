@@ -2,8 +2,8 @@
 
 Method. Four patterns find the protected values (e-mail addresses, IP addresses,
 card and phone numbers). Then information theory finds what reveals them: for a
-term t of a line with the value e, the corpus gives n(t, e), n(t), n(e) and N in
-documents, and t discloses the share
+term t at most ``NEAR`` words from the value e in a line, the corpus gives n(t, e),
+n(t), n(e) and N in documents, and t discloses the share
 
     ln(n(t, e) N / (n(t) n(e))) / ln(N / n(e))
 
@@ -18,7 +18,9 @@ document that holds them, with or without e;
 All of it is DataFrame expressions. The patterns are written with possessive
 quantifiers and an anchor at the start of a run, which changes no match but
 keeps the regular expression engine linear and its stack flat on long texts.
-Positions come from the pieces between the matches.
+Positions come from the lengths of the pieces between the matches, added up by chunks;
+overlaps are found by a sweep over sorted spans. So all takes time about in proportion
+to a text's length.
 
 Defined results: a null or empty text has no spans; positions count code points,
 ends are exclusive; repeated rows and null ids each return a row; other columns
@@ -50,6 +52,9 @@ IP = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[
 #: Words of a line, as letters and digits.
 TERM = r"[\p{L}\p{N}]+"
 
+#: Words on either side of a value that count as beside it.
+NEAR = 16
+
 _SPAN = "array<struct<start:bigint,rank:int,stop:bigint,value:string>>"
 _NONE = f"cast(array() as {_SPAN})"
 
@@ -85,20 +90,49 @@ def located(text: Column, pattern: str, rank: int, wanted=None) -> Column:
     """All matches from the left (that are ``wanted``) with their places: the lengths of the pieces between them, added up."""
     pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["pieces"])
-        stop = start + F.length(x["values"])
-        span = F.named_struct(F.lit("start"), start.cast("bigint"), F.lit("rank"), F.lit(rank), F.lit("stop"), stop.cast("bigint"), F.lit("value"), x["values"])
-        return F.named_struct(F.lit("pos"), stop.cast("bigint"), F.lit("out"), added(acc["out"], span, x["values"]))
+    def of(values: Column) -> Column:
+        def placed(lens: Column) -> Column:
+            before = D.scanned(F.transform(lens, lambda x: (x["a"] + x["b"]).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+            def span(value: Column, i: Column, before: Column) -> Column:
+                start = F.get(before, i) + F.get(lens, i)["a"]
+                return F.named_struct(F.lit("start"), start, F.lit("rank"), F.lit(rank), F.lit("stop"), start + F.get(lens, i)["b"], F.lit("value"), value)
+
+            return D.let(before, lambda before: F.transform(values, lambda v, i: span(v, i, before)))
+
+        lens = F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, v: F.named_struct(F.lit("a"), F.length(p), F.lit("b"), F.length(v)))
+        return D.let(lens, placed)
+
+    found = D.let(values, of)
+    return found if wanted is None else F.filter(found, lambda s: wanted(s["value"]))
+
+
+def outside(spans: Column, base: Column) -> Column:
+    """The spans (which don't overlap each other) that overlap none of ``base``: a sweep over both in order."""
+    marked = lambda a, term: F.transform(a, lambda s: F.named_struct(F.lit("start"), s["start"], F.lit("term"), F.lit(term), F.lit("span"), s))
 
-    def added(out: Column, span: Column, value: Column) -> Column:
-        more = F.concat(out, F.array(span))
-        return more if wanted is None else F.when(wanted(value), more).otherwise(out)
+    def of(every: Column) -> Column:
+        ends = F.transform(every, lambda x: F.when(x["term"] == 0, x["span"]["stop"]).otherwise(F.lit(0).cast("bigint")))
+        # of bases that begin at or before a span the farthest end, and whether the next base begins within the span
+        free = lambda x, i, reach: (x["term"] == 1) & (F.get(reach, i) <= x["start"]) & ~F.coalesce((F.get(every, i + 1)["term"] == 0) & (F.get(every, i + 1)["start"] < x["span"]["stop"]), F.lit(False))
+        kept = D.let(D.scanned(ends, F.lit(0).cast("bigint"), lambda a, b: F.greatest(a, b)), lambda reach: F.filter(every, lambda x, i: free(x, i, reach)))
+        return F.transform(kept, lambda x: x["span"])
 
-    n = F.size(values)
-    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), n).alias("pieces"), values.alias("values"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.expr(_NONE).alias("out"))
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    return D.let(F.array_sort(F.concat(marked(base, 0), marked(spans, 1))), of)
+
+
+#: What may be a value of any kind, or else a term.
+TOKEN = "|".join((*(PATTERNS[k] for k in ("email", "ip", "phone", "card")), TERM))
+
+
+def _rank(token: Column) -> Column:
+    """The kind of a token that is a value, else -1."""
+    out = F.lit(-1)
+    for i, kind in reversed(list(enumerate(KINDS))):
+        looks = {"email": token.contains("@"), "ip": token.contains("."), "phone": token.startswith("+"), "card": token.rlike(r"^[0-9][\x20-]?[0-9]")}[kind]
+        ok = _valid(kind, token) if kind != "phone" else _valid(kind, token) & ~token.contains("@")
+        out = F.when(looks & ok, i).otherwise(out)
+    return F.when(token.rlike(r"^\p{L}+$"), -1).otherwise(out)
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -124,23 +158,23 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", support: in
     terms = _terms(base, support, disclosure)
     out = base.join(D.small(terms), "rid", "left").withColumn("txt", F.when(F.col("hit") | F.col("terms").isNotNull(), F.col("txt")))
     found = located(F.col("txt"), TERM, len(KINDS), lambda v: F.array_contains(F.col("terms"), F.lower(v)))
-    inside = lambda s: F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    term = F.when(F.col("terms").isNotNull(), F.filter(found, lambda s: ~inside(s))).otherwise(F.expr(_NONE))
+    term = F.when(F.col("terms").isNotNull(), outside(found, F.concat(*KINDS))).otherwise(F.expr(_NONE))
     return out.select(F.col("key").alias(key), *KINDS, term.alias("term"), F.col("txt").alias("text"))
 
 
 def _terms(base: DataFrame, support: int, disclosure: float) -> DataFrame:
     """The rows (rid, terms): the disclosing terms of each document that holds some."""
-    hits = base.filter("hit")
-    values = F.concat(*KINDS)
     # no match of the patterns crosses a line
-    ends = F.transform(values, lambda s: F.named_struct(F.lit("rank"), s["rank"].cast("string"), F.lit("value"), s["value"]))
-    lines = hits.select("rid", F.explode(F.array_distinct(F.split("txt", "\n"))).alias("line"), ends.alias("values"))
-    lines = lines.select("rid", "line", F.filter("values", lambda v: F.col("line").contains(v["value"])).alias("values")).filter(F.size("values") > 0)
-    # the protected values of a line are no terms of it
-    rest = F.aggregate("values", F.lower("line"), lambda t, v: F.replace(t, F.lower(v["value"]), F.lit(" ")))
-    words = F.array_distinct(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)))
-    pairs = lines.select("rid", F.xxhash64("line").alias("line"), F.explode(F.array_distinct("values")).alias("e"), words.alias("words")).select("rid", "line", F.concat_ws(":", "e.rank", "e.value").alias("e"), F.explode("words").alias("t"))
+    lines = base.filter("hit").select("rid", F.explode(F.array_distinct(F.split("txt", "\n"))).alias("line"))
+    tokens = lines.select("rid", F.xxhash64("line").alias("line"), F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    tokens = tokens.withColumn("ranks", F.transform("tokens", _rank))
+    held = F.filter(F.transform("tokens", lambda t, i: F.named_struct(F.lit("i"), i, F.lit("rank"), F.get("ranks", i), F.lit("value"), t)), lambda x: x["rank"] >= 0)
+    near = tokens.select("rid", "line", "tokens", "ranks", F.explode(held).alias("e"))
+    first = F.greatest(F.col("e.i") - NEAR, F.lit(0)) + 1
+    around = F.arrays_zip(F.slice("tokens", first, F.lit(2 * NEAR + 1)).alias("t"), F.slice("ranks", first, F.lit(2 * NEAR + 1)).alias("r"))
+    # values, and what looks like one, are no terms
+    words = F.array_distinct(F.transform(F.filter(around, lambda x: (x["r"] < 0) & x["t"].rlike(f"^{TERM}$")), lambda x: F.lower(x["t"])))
+    pairs = near.select("rid", "line", F.concat_ws(":", F.col("e.rank").cast("string"), "e.value").alias("e"), F.explode(words).alias("t"))
     n_e = pairs.select("e", "rid").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     total = F.lit(float(max(base.count(), 1)))
     weight = F.when(F.col("lines") >= support, 1.0).otherwise(F.col("lines") / (F.col("lines") + support / 3))
@@ -162,14 +196,18 @@ def clean(found: DataFrame, docs_text: str = "text") -> Column:
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")))
     text = F.col(docs_text)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        part = F.concat(acc["out"], F.substring(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int")), F.element_at(names, s["rank"] + 1))
-        return F.named_struct(F.lit("pos"), F.greatest(acc["pos"], s["stop"]), F.lit("out"), F.when(fresh, part).otherwise(acc["out"]))
+    def of(spans: Column) -> Column:
+        reach = D.scanned(F.transform(spans, lambda s: s["stop"]), F.lit(0).cast("bigint"), lambda a, b: F.greatest(a, b))
+
+        def filled(chars: Column, reach: Column) -> Column:
+            cut = lambda a, b: F.array_join(F.slice(chars, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")), "")
+            part = lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(cut(F.get(reach, i), s["start"]), F.element_at(names, s["rank"] + 1))).otherwise("")
+            end = F.array_max(F.transform(spans, lambda s: s["stop"]))
+            return F.concat(F.array_join(F.transform(spans, part), ""), cut(F.coalesce(end, F.lit(0).cast("bigint")), F.size(chars).cast("bigint")))
+
+        return D.let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda chars: D.let(reach, lambda reach: filled(chars, reach)))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out"))
-    done = F.aggregate(F.array_sort(F.concat(*KINDS, "term")), zero, step)
-    return F.concat(done["out"], F.substring(text, (done["pos"] + 1).cast("int"), F.length(text)))
+    return F.when(text.isNotNull(), D.let(F.array_sort(F.concat(*KINDS, "term")), of))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -3,13 +3,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from foldspark.llm import license_scan, line_dedup, quality_rules
+from foldspark.llm import license_scan, line_dedup, oracles, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LICENCE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -159,6 +160,27 @@ def test_lines(spark, sf_dir):
     assert line_dedup.dedup(same).drop("_n_lines", "_n_removed").columns == same.columns
 
 
+def test_long_documents(spark):
+    """Many lines in one document, all of them repeated: time about in proportion."""
+    def seconds(n):
+        text = "\n".join(f"line {i}" for i in range(n))
+        rows = [(1, text), (2, "own\n" + text)]
+        t = time.time()
+        got = {r.doc_id: tuple(r)[1:3] for r in line_dedup.report(frame(spark, rows)).collect()}
+        assert got == {1: (n, 0), 2: (n + 1, n)}
+        return time.time() - t
+
+    seconds(1000)
+    one, four = seconds(15_000), seconds(60_000)
+    assert four < 8 * one + 5, (one, four)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc", 5, 6, 7, 8), (2, "a\nb\nc", 5, 6, 7, 8)], "doc_id long, text string, _id int, gone int, _left int, row int")
+    out = line_dedup.dedup(docs).orderBy("doc_id")
+    assert out.columns == [*docs.columns, "_n_lines", "_n_removed"] and [tuple(r) for r in out.collect()] == [(1, "a\nb\nc", 5, 6, 7, 8, 3, 0), (2, "", 5, 6, 7, 8, 3, 3)]
+
+
 def test_short_runs(spark):
     """Runs of one or two lines with many words go, too; short lines stay; the earliest place stays."""
     one, two = " ".join(f"w{i}" for i in range(60)), "\n".join(" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
@@ -174,12 +196,11 @@ def licence_brute(text, threshold=0.8):
     w = LICENCE_WORD.findall(low)
     places = [(i, label) for p, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     found = []
-    for line in low.split("\n"):
-        s = set(LICENCE_WORD.findall(line))
-        for label, t in license_scan.TEMPLATES:
-            t = set(t.split())
-            if len(s & t) / len(t) >= threshold:
-                found.append((label, len(s & t) / len(t)))
+    for label, t in license_scan.TEMPLATES:
+        size, t = len(t.split()) + len(t.split()) // 4, set(t.split())
+        share = max((len(set(w[i : i + size]) & t) / len(t) for i in range(len(w))), default=0.0)
+        if share >= threshold:
+            found.append((label, share))
     at, base = [i for i, _ in places], {x for _, x in places}
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in found})), 1.0 if at else max((x for _, x in found), default=0.0)
 
@@ -199,3 +220,25 @@ def test_licences(spark, sf_dir):
         want = licence_brute(t)
         assert got[k][:6] == want[:6] and got[k][6] == pytest.approx(want[6]), (k, t, got[k], want)
     assert license_scan.report(license_scan.scan(frame(spark, rows).filter("false"))).count() == 0
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert {r[0]: r[1:7] for r in con.sql(oracles.license_scan_sql()).fetchall()} == {k - 1000: v[:6] for k, v in got.items() if k >= 1000}
+
+
+def test_wrapped_licences(spark):
+    """Statements over several lines, indented, and behind comment marks."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    wrap = lambda t, mark, n: "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = [mit, wrap(mit, "", 7), wrap(mit, " * ", 6), wrap(bsd, "# ", 8), wrap(bsd, "// ", 5), f"other words\n\n{wrap(bsd, '    ', 9)}\n\nmore words", " ".join(x + " zzz" * 6 for x in mit.split()), "all\n# rights\n# reserved"]
+    got = [r.labels for r in license_scan.report(license_scan.scan(frame(spark, list(enumerate(texts))))).orderBy("doc_id").collect()]
+    assert got == ["mit", "mit", "mit", "bsd", "bsd", "bsd", "", "all-rights-reserved"]
+
+
+def test_many_templates(spark):
+    """A thousand templates, in texts of any length."""
+    rng = random.Random(1)
+    templates = tuple((f"l{i}", " ".join(f"{rng.choice('abcdef')}{rng.randrange(3000)}" for _ in range(12))) for i in range(1000)) + (("none", ""),)
+    texts = [" ".join(f"x{rng.randrange(99)}" for _ in range(rng.randrange(50))) + " " + templates[i][1] for i in range(0, 1000, 40)] + ["", None, "the of and " * 60_000]
+    got = license_scan.scan(frame(spark, list(enumerate(texts))), templates=templates).orderBy("doc_id").collect()
+    assert [[x.label for x in r.found] for r in got] == [[f"l{i}"] for i in range(0, 1000, 40)] + [[], [], []]

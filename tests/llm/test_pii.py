@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -84,3 +85,32 @@ def test_terms_without_value(spark):
     rows = {r.doc_id: (r.spans, r.c) for r in found.select("doc_id", pii.joined(F.concat(*pii.KINDS, "term")).alias("spans"), pii.clean(found).alias("c")).collect()}
     assert rows[66] == ("term:0:7", "[TERM] from far") and rows[30] == ("", None)
     assert "term:" in rows[0][0]
+
+
+def test_long_texts(spark):
+    """Time in proportion to the length: many values, many lines, one line; twice the text takes about twice as long."""
+    def seconds(n):
+        texts = [" ".join(f"u{i}@x.org" for i in range(n)), "\n".join(f"w{i} u{i}@y.org 10.0.{i % 256}.1" for i in range(n // 2))]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").checkpoint()
+        t = time.time()
+        found = pii.detect(df)
+        got = {r.doc_id: (r.n_email, r.n_ip, r.base_sha256) for r in pii.digest(found).collect()}
+        assert got == {i: (*brute(t)[:2], brute(t)[4]) for i, t in enumerate(texts)}
+        assert found.select(F.length(pii.clean(found)).alias("n")).agg(F.min("n")).first()[0] >= 8 * n // 2
+        return time.time() - t
+
+    seconds(1000)
+    one, four = seconds(15_000), seconds(60_000)
+    assert four < 8 * one + 10, (one, four)
+
+
+def test_overlaps(spark):
+    """Terms inside values are none, on either side of a bound."""
+    rng = random.Random(2)
+    for _ in range(3):
+        spans = sorted(rng.sample(range(60), 12))
+        term = [(a, 4, b, "t") for a, b in zip(spans[::2], spans[1::2], strict=True)]
+        base = [(a, rng.randrange(4), a + rng.randrange(1, 8), "b") for a in rng.sample(range(60), 4)]
+        df = spark.createDataFrame([(term, base)], "term array<struct<start:bigint,rank:int,stop:bigint,value:string>>, base array<struct<start:bigint,rank:int,stop:bigint,value:string>>")
+        got = [tuple(x) for x in df.select(pii.outside(F.col("term"), F.col("base"))).first()[0]]
+        assert got == [t for t in term if not any(b[0] < t[2] and t[0] < b[2] for b in base)]

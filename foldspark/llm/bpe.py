@@ -9,6 +9,12 @@ gives each piece its lowest rank, and all pieces merge their lowest pair at once
 As a merge that uses a token always ranks after the merge that made it, this
 gives the same ids as merging one pair at a time.
 
+A piece of more than ``LONG`` bytes would take a round for each of its many ranks
+over its whole length. It goes rank by rank instead: a heap has the ranks that occur,
+each with the places where it was seen; all its pairs merge in one numpy step, which
+looks at their neighbours only. A place enters the heap when its pair is made, so the
+time is about n log n.
+
 Defined results: a null or empty text has no ids and decodes to ""; repeated
 rows each get a row; special tokens' strings in a text become their ids, as the
 library does; texts of any length are encoded whole; further columns of the
@@ -20,6 +26,7 @@ held the table starts anew (that costs time, it changes no result).
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -31,8 +38,8 @@ from pyspark.sql import functions as F
 
 from foldspark.llm import _kernel as K
 
-#: Pieces whose ids a worker keeps.
-CACHE = 400_000
+#: Pieces whose ids a worker keeps, and bytes from which a piece is merged rank by rank.
+CACHE, LONG = 400_000, 1024
 
 #: The published splitting pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -81,8 +88,79 @@ class Vocabulary:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(PATTERN)
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places among the sorted keys of pairs that merge, -1 for others."""
+        key = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long piece."""
+        sym = self.of_byte[np.frombuffer(word, dtype=np.uint8)]
+        n = len(sym)
+        after, before, live = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, dtype=bool)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def push(left: np.ndarray) -> None:
+            """The pairs that begin at these symbols, by rank."""
+            left = left[(left >= 0) & live[np.maximum(left, 0)]]
+            left = left[after[left] < n]
+            at = self._ranks(sym[left], sym[after[left]])
+            left, at = left[at >= 0], at[at >= 0]
+            if not len(left):
+                return
+            rank = self.ranks[at]
+            order = np.argsort(rank, kind="stable")
+            left, rank = left[order], rank[order]
+            head = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+            for r, part in zip(rank[head].tolist(), np.split(left, head[1:]), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(part)
+
+        push(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            left = np.unique(np.concatenate(places.pop(r)))
+            left = left[live[left]]
+            left = left[after[left] < n]
+            at = self._ranks(sym[left], sym[after[left]])
+            # a pair that a merge has changed meanwhile is gone
+            left = left[(at >= 0) & (self.ranks[at] == r)]
+            if not len(left):
+                continue
+            # of a chain of overlapping occurrences, every second one from the left
+            chain = np.append(True, after[left[:-1]] != left[1:])
+            begin = np.maximum.accumulate(np.where(chain, np.arange(len(left)), 0))
+            left = left[(np.arange(len(left)) - begin) % 2 == 0]
+            right = after[left]
+            sym[left] = self.made[r]
+            live[right] = False
+            after[left] = after[right]
+            inner = after[left] < n
+            before[after[left[inner]]] = left[inner]
+            push(np.unique(np.concatenate((left, before[left]))))
+        return sym[live]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and number of ids of each word."""
+        long = {i: self.merge_long(w) for i, w in enumerate(words) if len(w) > LONG}
+        if not long:
+            return self._merge_short(words)
+        flat, counts = self._merge_short([w for i, w in enumerate(words) if i not in long])
+        parts, ends, k = [], np.concatenate(([0], np.cumsum(counts))), 0
+        for i in range(len(words)):
+            if i in long:
+                parts.append(long[i])
+            else:
+                parts.append(flat[ends[k] : ends[k + 1]])
+                k += 1
+        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+
+    def _merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, in rounds over all words at once."""
         lens = np.fromiter((len(w) for w in words), dtype=np.int64, count=len(words))
         sym = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), lens)
@@ -128,6 +206,15 @@ class Vocabulary:
         return [flat[a:b].decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
+def _roomy(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for ``n`` values at least."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), dtype=a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class Encoder:
     """A vocabulary with the ids of the pieces seen so far."""
 
@@ -137,18 +224,21 @@ class Encoder:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.lens = np.zeros(0, dtype=np.int64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.int64)
+        # arrays with room at their ends: what is added is copied once or twice in all
+        self.lens, self.at = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.flat, self.used = np.zeros(4096, dtype=np.int64), 0
         for token, i in self.v.special.items():
             self._add([token], np.array([i]), np.array([1]))
 
     def _add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        n = len(self.index)
+        n, used = len(self.index), self.used
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
-        self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(lens) - lens))
-        self.lens = np.concatenate((self.lens, lens))
-        self.flat = np.concatenate((self.flat, ids))
+        self.at, self.lens = (_roomy(a, n + len(words)) for a in (self.at, self.lens))
+        self.flat = _roomy(self.flat, used + len(ids))
+        self.at[n : n + len(words)] = used + np.cumsum(lens) - lens
+        self.lens[n : n + len(words)] = lens
+        self.flat[used : used + len(ids)] = ids
+        self.used = used + len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and number of ids of each text."""

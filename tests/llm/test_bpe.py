@@ -1,5 +1,7 @@
 import hashlib
+import random
 import sys
+import time
 
 import pytest
 import regex
@@ -60,3 +62,22 @@ def test_frames(spark):
     assert sorted((r.decoded for r in bpe.decode(coded, VOCABULARY).collect())) == sorted(t or "" for _, t in rows)
     assert bpe.round_trip(df.filter("false"), VOCABULARY).count() == 0
     assert sys.getrefcount(df)
+
+
+def test_long_pieces(encoder):
+    """Pieces of many bytes, merged rank by rank: the library's ids, in time about in proportion."""
+    rng = random.Random(7)
+    for alphabet in ("a", "ab", "the ing and".replace(" ", ""), "abcdefghijklmnopqrstuvwxyz", "äöüßé", "0123456789", "=-"):
+        same(encoder, ["".join(rng.choice(alphabet) for _ in range(n)) for n in (bpe.LONG - 1, bpe.LONG + 1, 3001, 20_000)] + ["x " + "ab" * 2000 + " y"])
+    for w in (b"", b"a", b"aa", b"aaa", b"banana" * 9, b"theinginging" * 30):
+        if w:
+            assert encoder.v.merge_long(w).tolist() == encoder.v._merge_short([w])[0].tolist()
+
+    def seconds(n):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode()
+        t = time.time()
+        encoder.v.merge_long(word)
+        return time.time() - t
+
+    one, eight = seconds(250_000), seconds(2_000_000)
+    assert eight < 16 * one + 2, (one, eight)

@@ -9,7 +9,10 @@ diagonal join to segments, and segments of any diagonals chain in the order of
 both texts while the slots are consistent: a value of the item must stand for one
 value of the document wherever it occurs. An item of whose tokens a chain covers
 the part ``COVER`` or more is a leak, whether its numbers and names were changed
-or not, and so is one of which ``RUN`` tokens or more stand word for word.
+or not, and so is one of which ``RUN`` tokens or more stand word for word. Of hits only
+those that begin a segment are kept, and followed along their diagonal; a chain that
+another one beats in every respect is dropped. So repeated words, whose hits are as many
+as the document's times the item's, need little memory and no loop over all hits.
 
 The documents are read once and not shuffled. The benchmark's windows are
 broadcast in blocks of items of at most ``BLOCK_BYTES`` of text, one pass over
@@ -113,60 +116,87 @@ class Block:
         self.tokens = t = Tokens([x for _, x in items])
         n = np.diff(t.first)
         self.sizes = sorted({int(x) for x in n if LEAST <= x < WINDOW} | ({WINDOW} if (n >= WINDOW).any() else set()))
-        h, at = [], []
-        for size in self.sizes:
-            start, hashes = t.windows(size)
-            mine = np.minimum(n[t.doc[start]], WINDOW) == size
-            h.append(hashes[mine])
-            at.append(start[mine])
-            start, hashes = t.literals(size)
-            mine = np.minimum(n[t.doc[start]], WINDOW) == size
+        h, at, tables = [], [], []
+
+        def add(start: np.ndarray, hashes: np.ndarray, mine: np.ndarray, size: int, literal: bool) -> None:
             h.append(hashes[mine])
             at.append(start[mine])
+            tables.append((hashes[mine], start[mine], size, literal))
+
+        for size in self.sizes:
+            for literal, (start, hashes) in enumerate((t.windows(size), t.literals(size))):
+                add(start, hashes, np.minimum(n[t.doc[start]], WINDOW) == size, size, bool(literal))
             plain, t.hash = t.hash, t.hash.copy()
             t.hash[t.maybe] = _MARK["name"]
             start, hashes = t.windows(size)
-            mine = (np.minimum(n[t.doc[start]], WINDOW) == size) & np.isin(start, t.maybe)
-            h.append(hashes[mine])
-            at.append(start[mine])
+            add(start, hashes, (np.minimum(n[t.doc[start]], WINDOW) == size) & np.isin(start, t.maybe), size, False)
             t.hash = plain
         h, at = (np.concatenate(h), np.concatenate(at)) if h else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
         order = np.argsort(h, kind="stable")
         self.hash, self.at = h[order], at[order]
+        # the hash at each token and table (by size and kind), 0 where that table has no window
+        self.dense: list[tuple[int, bool, np.ndarray]] = []
+        for x, y, size, literal in tables:
+            d = np.zeros(len(t.hash), dtype=np.uint64)
+            d[y] = x
+            self.dense.append((size, literal, d))
 
     def leaks(self, texts: list) -> Iterator[tuple[int, int, float, int, int]]:
         """(document, item, part of the item's tokens, slots, slots with other values)."""
         if not len(self.hash):
             return
         t = Tokens(texts)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for size in self.sizes:
-            for start, h in (t.windows(size), t.literals(size)):
-                low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-                hit = np.flatnonzero(high > low)
-                for a, x, y in zip(start[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-                    for i in self.at[x:y].tolist():
-                        item = int(self.tokens.doc[i])
-                        if min(WINDOW, self.tokens.first[item + 1] - self.tokens.first[item]) == size:
-                            found[int(t.doc[a]), item].append((a, i))
-        for (doc, item), pairs in sorted(found.items()):
-            best = self._best(t, item, pairs)
+        found: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+        for a, i, k in self._segments(t):
+            found[int(t.doc[a]), int(self.tokens.doc[i])].append((a, i, k))
+        for (doc, item), segments in sorted(found.items()):
+            best = self._best(t, item, segments)
             if best is not None:
                 yield doc, item, *best
 
-    def _best(self, t: Tokens, item: int, pairs: list[tuple[int, int]]) -> tuple[float, int, int] | None:
+    def _segments(self, t: Tokens, most: int = 1 << 20) -> Iterator[tuple[int, int, int]]:
+        """(start in the documents, start in the items, tokens) of the longest runs of hits of one table on one diagonal."""
+        for size in self.sizes:
+            for literal, (start, h) in enumerate((t.windows(size), t.literals(size))):
+                low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+                hit = np.flatnonzero(high > low)
+                mine = np.zeros(len(t.hash) + 1, dtype=np.uint64)
+                mine[start[hit]] = h[hit]
+                for of_size, of_literal, theirs in self.dense:
+                    if of_size != size or of_literal != bool(literal):
+                        continue
+                    theirs = np.append(theirs, np.uint64(0))
+                    # at the tokens' ends, and between documents or items, no window of the one before goes on
+                    total = np.cumsum(high[hit] - low[hit])
+                    for part in np.split(np.arange(len(hit)), np.searchsorted(total, np.arange(most, int(total[-1]) if len(total) else 0, most))):
+                        n = (high - low)[hit[part]]
+                        a, i = np.repeat(start[hit[part]], n), self.at[K.ragged(low[hit[part]], n)]
+                        same = (mine[a] == theirs[i])
+                        goes_on = (a > 0) & (i > 0) & (mine[a - 1] == theirs[i - 1]) & (mine[a - 1] != 0)
+                        goes_on &= (t.doc[a - 1] == t.doc[a]) & (self.tokens.doc[i - 1] == self.tokens.doc[i])
+                        a, i = a[same & ~goes_on], i[same & ~goes_on]
+                        k, open_, step = np.full(len(a), size), np.arange(len(a)), 1
+                        while len(open_):
+                            x, y = np.minimum(a[open_] + step, len(t.hash)), np.minimum(i[open_] + step, len(theirs) - 1)
+                            more = (mine[x] == theirs[y]) & (mine[x] != 0)
+                            more[more] &= (t.doc[x[more]] == t.doc[a[open_[more]]]) & (self.tokens.doc[y[more]] == self.tokens.doc[i[open_[more]]])
+                            open_ = open_[more]
+                            k[open_] += 1
+                            step += 1
+                        yield from zip(a.tolist(), i.tolist(), k.tolist(), strict=True)
+
+    def _best(self, t: Tokens, item: int, found: list[tuple[int, int, int]]) -> tuple[float, int, int] | None:
         """The chain that covers the largest part of the item, if that or an exact run makes it a leak."""
         n = int(self.tokens.first[item + 1] - self.tokens.first[item])
-        size = min(WINDOW, n)
-        pairs.sort(key=lambda p: (p[0] - p[1], p[0]))
-        # windows of a diagonal that touch or overlap, as [start in the document, start in the item, tokens]
+        found.sort(key=lambda p: (p[0] - p[1], p[0]))
+        # runs of a diagonal that touch or overlap, of any table, as [start in the document, start in the item, tokens]
         segments: list[list[int]] = []
-        for a, i in pairs:
+        for a, i, k in found:
             last = segments[-1] if segments else None
             if last and a - i == last[0] - last[1] and a <= last[0] + last[2]:
-                last[2] = max(last[2], a + size - last[0])
+                last[2] = max(last[2], a + k - last[0])
             else:
-                segments.append([a, i, size])
+                segments.append([a, i, k])
         segments.sort()
         exact = max((self._exact(t, *x) for x in segments if x[2] >= RUN), default=0)
         # each chain: (tokens, end in the document, end in the item, what values stand for, slots, changed slots)
@@ -184,10 +214,14 @@ class Block:
                     own = c[0] + k - over, a + k, i + k, stands, c[4] | places, c[5] | changed
             if own is None:
                 continue
-            # only what ends less than an item's length ago can go on
-            chains = [c for c in chains if a - c[1] <= n] + [own]
             if best is None or own[0] > best[0]:
                 best = own
+                if own[0] == n:
+                    break
+            # only what ends less than an item's length ago can go on, and what no other chain beats in all respects
+            chains = [c for c in chains if a - c[1] <= n]
+            if not any(_beats(c, own) for c in chains):
+                chains = [c for c in chains if not _beats(own, c)] + [own]
         if best is not None and best[0] >= COVER * n:
             return best[0] / n, len(best[4]), len(best[5])
         return (exact / n, 0, 0) if exact >= RUN else None
@@ -210,6 +244,11 @@ class Block:
         return stands, frozenset(places), frozenset(changed)
 
 
+def _beats(c: tuple, other: tuple) -> bool:
+    """Whether a chain has as many tokens, ends as early in both texts and binds no value that the other leaves free."""
+    return c[0] >= other[0] and c[1] <= other[1] and c[2] <= other[2] and c[3].items() <= other[3].items()
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Block]:
     rows, n = [], 0
     for r in benchmark.select(F.col(f"`{item}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).filter("t is not null").toLocalIterator():

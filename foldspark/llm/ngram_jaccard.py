@@ -21,8 +21,9 @@ miss, pairs of partners that share a subset but whose links to the centre
 failed, is settled afterwards: subsets whose members all lie in one component
 are done; of the others' pairs of different components those are verified, too,
 whose token histograms leave a link possible (the histograms' distance is at
-most the number of tokens in which two sets differ, so this loses none). So no
-link between different components is lost.
+most the number of tokens in which two sets differ, so this loses none). A subset of
+more than ``MEMBERS`` members falls into blocks, and pairs of blocks are dealt over the
+tasks. So no link between different components is lost.
 
 Defined results: A-Z count as a-z; fewer words than n are one token, their whole
 sequence; a null, empty or blank text has no tokens and links with nothing; rows
@@ -55,8 +56,8 @@ LAST = (1 << 63) - 1
 #: Flags of a subset: it is in the index; it looks others up; a token is deleted; it stands for several sets of its task.
 INDEX, LOOK, CUT, MANY = 1, 2, 4, 8
 
-#: Counts in a set's histogram.
-BINS = 256
+#: Counts in a set's histogram, and members of a subset whose pairs one task compares.
+BINS, MEMBERS = 256, 2000
 
 _SALT = K.mix(np.arange(1, 4, dtype=np.uint64))
 
@@ -384,8 +385,8 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     shape = shape.select("id", "least", "most", F.when(F.col("h") == F.col("other"), F.col("h")).alias("h"))
     for nearest in (True, False):
         known = member.join(_graph.components(linked), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        mixed = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("sig")
-        known = known.join(mixed, "sig").join(shape, "id").select("sig", "id", "component", "least", "most", "h")
+        mixed = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("sig", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
+        known = _in_blocks(known.join(mixed, "sig").join(shape, "id"))
         open_ = known.repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(_open_pairs(rule, nearest), "a long, b long").distinct()
         done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = verified(D.saved(open_.join(done, ["a", "b"], "left_anti")))
@@ -394,10 +395,18 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     return found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles")), linked
 
 
+def _in_blocks(known: DataFrame) -> DataFrame:
+    """The members by subset or, where it has several blocks, by pair of blocks; ``block`` is -1 where all pairs count, else only those of two blocks do."""
+    d = known.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("sig", F.least("mine", "other"), F.greatest("mine", "other"))
+    group = F.when(F.col("blocks") == 1, F.col("sig")).otherwise(pair)
+    return d.select(group.alias("sig"), "id", "component", "least", "most", "h", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("block"))
+
+
 def _open_pairs(rule: Rule, nearest: bool, rows: int = 50_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of members sorted by subset, the pairs of different components that sizes and histograms allow to link: all, or each member's with the nearest histogram."""
 
-    def pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, least: np.ndarray, most: np.ndarray, known: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    def pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, least: np.ndarray, most: np.ndarray, block: np.ndarray, known: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         a, b, i = [], [], np.arange(len(sig))
         best, least_apart = np.full(len(sig), -1), np.full(len(sig), np.iinfo(np.int64).max)
         for step in range(1, len(sig)):
@@ -406,7 +415,7 @@ def _open_pairs(rule: Rule, nearest: bool, rows: int = 50_000) -> Callable[[Iter
             if not len(i):
                 break
             j = i + step
-            can = (comp[i] != comp[j]) & (most[j] * rule.den >= least[i] * rule.num) & (most[i] * rule.den >= least[j] * rule.num)
+            can = (comp[i] != comp[j]) & ((block[i] < 0) | (block[i] != block[j])) & (most[j] * rule.den >= least[i] * rule.num) & (most[i] * rule.den >= least[j] * rule.num)
             x, y = i[can], j[can]
             for k in range(0, len(x), 20_000):
                 u, v = x[k : k + 20_000], y[k : k + 20_000]
@@ -447,7 +456,7 @@ def _members(table: pa.Table) -> tuple[np.ndarray, ...]:
     known = table.column("h").is_valid().to_numpy()
     h = np.zeros((table.num_rows, BINS), dtype=np.int16)
     h[known] = np.frombuffer(b"".join(table.column("h").drop_null().to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-    return (*(table.column(c).to_numpy() for c in ("sig", "id", "component", "least", "most")), known, h)
+    return (*(table.column(c).to_numpy() for c in ("sig", "id", "component", "least", "most", "block")), known, h)
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,3 +83,12 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "q w e r t y"), (4, "q w e r t y"), (4, "q w e r t y"), (4, "z x c v b n"), (9, "z x c v b n"), (None, "1 2 3 4 5 6 7")], "doc_id long, text string")
     got = sorted((tuple(r) for r in ngram_jaccard.components(df).collect()), key=str)
     assert got == sorted([(None, 2, 4), (4, 2, 4), (4, 2, 4), (4, 2, 4), (9, 2, 4), (None, 3, 4)], key=str)
+
+
+def test_split_subsets(spark, monkeypatch):
+    """Subsets of more members than one task compares: pairs of blocks find the same."""
+    monkeypatch.setattr(ngram_jaccard, "MEMBERS", 6)
+    rng = random.Random(9)
+    texts = [t for words, edits in ((60, 5), (25, 3), (200, 30)) for t in near_copies(rng, 90, words, edits)]
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == brute(rows)

@@ -43,3 +43,21 @@ def test_short_copies(spark):
     out = corpus_pipeline.lines(spark, docs, None).checkpoint()
     assert {r.doc_id: r.text for r in out.collect()} == {1: f"own\n{passage}", 2: "more words", 3: ""}
     assert {r.doc_id for r in out.filter(F.col("text").rlike(r"\S")).collect()} == {1, 2}
+
+
+def test_odd_rows(spark, sf_dir):
+    """Nulls, empty texts, repeated rows and ids, clashing columns and empty tables in every stage."""
+    words = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [(None, words("a")), (None, words("a")), (None, words("b")), (1, words("c")), (1, words("c")), (1, words("d")), (2, None), (3, ""), (4, " \n "), (None, None), (5, words("e"))]
+    odd = ["_id", "row", "id", "copy", "_kept", "_n_removed", "m", "table", "gone", "component_id"]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, *range(10)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in odd))
+    texts = lambda df: sorted((str(r.doc_id), str(r.text)[:2]) for r in df.collect())
+    near = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert texts(near) == sorted([("None", "a0"), ("None", "b0"), ("1", "c0"), ("1", "d0"), ("2", "No"), ("3", ""), ("4", " \n"), ("None", "No"), ("5", "e0")])
+    bench = corpus_pipeline.benchmark(spark, docs, sf_dir)
+    assert len(texts(bench)) == 7
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and all(tuple(r)[5:] == tuple(range(10)) for r in out.collect())
+        assert stage(spark, docs.filter("false"), sf_dir).count() == 0
+    assert corpus_pipeline.encoded(spark, docs, sf_dir).count() == len(rows)

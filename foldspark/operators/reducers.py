@@ -2,17 +2,22 @@
 
 A column reducer is an aggregate with a finalizer; any number of them are
 computed in one pass. A function reducer (init, update, merge, finalize) runs
-Python on each row and is the slow path, for what no aggregate expresses.
-``init()`` must be neutral for ``merge``.
+Python on each row and is the slow path, for what no aggregate expresses. Its
+partial results are merged with their neighbours only, in the order of the rows, so
+``merge`` need not commute. Each partition with rows begins with ``init()``, which
+therefore must be neutral for ``merge``; without rows the result is that of ``init()``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import pickle
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from foldspark.functions.casts import without_nan
@@ -154,6 +159,12 @@ def frequencies(df: DataFrame, x: Column, name: str = "n") -> DataFrame:
     return df.groupBy(x.alias("k")).agg(F.count("*").alias(name))
 
 
+#: Partial results that one task, or at last the driver, merges.
+FAN_IN = 64
+
+_PARTIAL = "part long, state binary"
+
+
 @dataclass(frozen=True)
 class FunctionReducer:
     """Python functions; the slow path."""
@@ -163,19 +174,49 @@ class FunctionReducer:
     merge: Callable[[Any, Any], Any]
     finalize: Callable[[Any], Any] = field(default=lambda x: x)
 
-    def reduce(self, df: DataFrame, depth: int = 2) -> Any:
-        """Over the rows, in a tree of partial results."""
-        init, update, merge = self.init, self.update, self.merge
-        return self.finalize(df.rdd.treeAggregate(init(), update, merge, depth))
-
-    def partials(self, df: DataFrame) -> list[Any]:
-        """The unmerged result of each partition."""
-        init, update = self.init, self.update
-
-        def fold(part):
-            out = init()
-            for row in part:
-                out = update(out, row)
-            yield out
-
-        return df.rdd.mapPartitions(fold).collect()
+    def folded(self, df: DataFrame, order: Sequence[str | Column] | None = None) -> DataFrame:
+        """(part, state): the pickled state of each partition that has rows; part counts in the order of the rows.
+
+        With ``order`` the rows are first sorted by ranges of it; without, they come as the frame has them.
+        """
+        init, update, names = self.init, self.update, df.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            row, state, some = Row(*names), None, False
+            for batch in batches:
+                for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    state, some = update(state if some else init(), row(*values)), True
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], names=["part", "state"])
+
+        return (df if order is None else df.orderBy(*order)).mapInArrow(run, _PARTIAL)
+
+    def reduce(self, df: DataFrame, order: Sequence[str | Column] | None = None) -> Any:
+        """Over the rows: neighbours merge in tasks, FAN_IN at a time, until the driver gets at most that many."""
+        merge = self.merge
+
+        def merged(group: pa.Table) -> pa.Table:
+            states = sorted(zip(group.column("part").to_pylist(), group.column("state").to_pylist(), strict=True))
+            out = pickle.loads(states[0][1])
+            for _, state in states[1:]:
+                out = merge(out, pickle.loads(state))
+            return pa.table({"part": pa.array([states[0][0] // FAN_IN], pa.int64()), "state": pa.array([pickle.dumps(out)], pa.binary())})
+
+        found = self.folded(df, order)
+        # a sort by ranges makes at most as many partitions as a shuffle has
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if order is not None else df.rdd.getNumPartitions()
+        while parts > FAN_IN:
+            found = found.groupBy(F.floor(F.col("part") / FAN_IN).alias("group")).applyInArrow(merged, _PARTIAL)
+            parts = -(-parts // FAN_IN)
+        states = sorted((r.part, r.state) for r in found.collect())
+        if not states:
+            return self.finalize(self.init())
+        out = pickle.loads(states[0][1])
+        for _, state in states[1:]:
+            out = merge(out, pickle.loads(state))
+        return self.finalize(out)
+
+    def partials(self, df: DataFrame, order: Sequence[str | Column] | None = None) -> Iterator[Any]:
+        """The unmerged states in the order of the rows, one at a time on the driver."""
+        for r in self.folded(df, order).orderBy("part").toLocalIterator():
+            yield pickle.loads(r.state)

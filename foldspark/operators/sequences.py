@@ -7,9 +7,15 @@ count for each partition; nothing runs through a single task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import pickle
+import re
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import Any
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +29,13 @@ BLOCK = 1 << 20
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder that the cluster names; a local one is set only where there is none."""
+    """Checkpointed in the folder that the cluster names; a temporary one serves a session in one process only."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
 
 
@@ -194,43 +203,99 @@ def take_while(df: DataFrame, order: Column, p: Column) -> DataFrame:
     return df.filter(order < limit)
 
 
-def cost_batches(costs, most: float) -> list[int]:
-    """The batch of each item: a fold that closes a batch at the cost ``most``.
+Step = Callable[[Any, int, Any], tuple[Any, list[int]]]
+
+
+def marked(df: DataFrame, order: Sequence[str | Column], value: str, step: Step, start: Any, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(rows with positions, marks): a fold over all rows in their order, in parallel.
+
+    ``step(state, position, value)`` gives the next state and positions to mark. Each partition of the sorted rows folds
+    from a guess of the state it begins with (at first ``start``); where the state that the partition before ends with
+    is another, it folds again. A fold mostly forgets how it began within some rows, so two or three rounds settle it;
+    after n rounds the first n partitions are right in any case. A state for each partition goes to the driver; the
+    rows come in Arrow batches, two columns of them.
+    """
+    s = with_pos(df, order)
+    narrow = s.select(F.spark_partition_id().alias("part"), POS, F.col(value).alias("x"))
+
+    def folded(begins: dict[int, Any], default: Any, todo: set[int] | None, marks: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            if todo is not None and part not in todo:
+                return
+            state, some = begins.get(part, default), False
+            for batch in batches:
+                found: list[int] = []
+                for at, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    state, here = step(state, at, x)
+                    found += here
+                some = some or batch.num_rows > 0
+                if marks and found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=[POS])
+            if some and not marks:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], names=["part", "state"])
+
+        return run
+
+    begins: dict[int, Any] = {}
+    ends: dict[int, Any] = {}
+    todo: set[int] | None = None
+    for _ in range(rounds):
+        for r in narrow.mapInArrow(folded(begins, start, todo, False), "part long, state binary").collect():
+            ends[r.part] = pickle.loads(r.state)
+        known = sorted(ends)
+        want = dict(zip(known, [start, *(ends[p] for p in known)], strict=False))
+        todo = {p for p in known if want[p] != begins.get(p, start)}
+        begins = want
+        if not todo:
+            return s, narrow.mapInArrow(folded(begins, start, None, True), f"{POS} long")
+    raise RuntimeError(f"the fold didn't settle in {rounds} rounds")
+
+
+def _numbered(s: DataFrame, marks: DataFrame, name: str) -> DataFrame:
+    """The rows with the number of marks up to each."""
+    d = s.join(marks.select(F.col(POS).alias("_at"), F.lit(1).alias("_mark")), F.col(POS) == F.col("_at"), "left")
+    return running_sum(d, F.coalesce("_mark", F.lit(0)), name).drop("_at", "_mark")
+
+
+def cost_step(most: float) -> Step:
+    """Marks where batches begin; the state is (cost, cost at the half mark, position after it).
 
     A batch ends with the item at which its cost first reached half of ``most``,
     or with all items so far if there is no such mark; what follows the mark
     starts the next batch, whose mark is taken at its next new item.
     """
-    out, number, start, total, mark = [], 0, 0, 0, None
     half = int(most) // 2
-    costs = list(costs)
-    for i, c in enumerate(costs):
-        out.append(None)
-        total += c
+
+    def step(state: tuple, at: int, cost: float) -> tuple[tuple, list[int]]:
+        total, mark, end = state
+        total += cost
         if mark is None and total >= half:
-            mark = (total, i + 1)
-        if total >= most:
-            cost, end = mark if mark is not None else (total, i + 1)
-            out[start:end] = [number] * (end - start)
-            number, start, total, mark = number + 1, end, total - cost, None
-    out[start:] = [number] * (len(out) - start)
-    return out
+            mark, end = total, at + 1
+        if total < most:
+            return (total, mark, end), []
+        return (total - (total if mark is None else mark), None, None), [at + 1 if mark is None else end]
 
+    return step
 
-def partition_by_cost(df: DataFrame, order: Sequence[str | Column], cost: str, most: float, name: str = "_batch") -> DataFrame:
-    """Rows with positions and the number of their cost batch.
 
-    Where a batch ends depends on all before it, so one task folds over the
-    costs; it gets two numbers of each row, no more.
-    """
-    d = with_pos(df, order)
+def _folded(values: Sequence[Any], step: Step, state: Any) -> list[int]:
+    """The number of marks up to each value."""
+    marks: list[int] = []
+    for at, x in enumerate(values):
+        state, here = step(state, at, x)
+        marks += here
+    return [sum(m <= at for m in marks) for at in range(len(values))]
 
-    def fold(rows):
-        rows = rows.sort_values(POS)
-        return rows.assign(**{name: cost_batches(rows["c"], most)})[[POS, name]]
 
-    folded = d.select(POS, F.col(cost).alias("c"), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(fold, f"{POS} long, {name} long")
-    return d.join(folded, POS)
+def cost_batches(costs: Sequence[float], most: float) -> list[int]:
+    """The batch of each item of a list."""
+    return _folded(costs, cost_step(most), (0, None, None))
+
+
+def partition_by_cost(df: DataFrame, order: Sequence[str | Column], cost: str, most: float, name: str = "_batch") -> DataFrame:
+    """Rows with positions and the number of their cost batch."""
+    return _numbered(*marked(df, order, cost, cost_step(most), (0, None, None)), name)
 
 
 def split_while(df: DataFrame, order: Column, p: Column) -> tuple[DataFrame, DataFrame]:
@@ -239,30 +304,25 @@ def split_while(df: DataFrame, order: Column, p: Column) -> tuple[DataFrame, Dat
     return head, df.join(head.select(order.alias("_o")), order.eqNullSafe(F.col("_o")), "left_anti")
 
 
-def predicate_runs(values, same: Callable[[object, object], bool]) -> list[int]:
-    """The run of each value: a run goes on while ``same(first of the run, value)``."""
-    out, number, head = [], -1, None
-    for i, x in enumerate(values):
-        if i == 0 or not same(head, x):
-            number, head = number + 1, x
-        out.append(number)
-    return out
+def predicate_step(same: Callable[[object, object], bool]) -> Step:
+    """Marks where runs after the first begin: a run goes on while ``same(first of the run, value)``. The state is (that value,)."""
 
+    def step(state: tuple | None, at: int, x: object) -> tuple[tuple, list[int]]:
+        if state is not None and same(state[0], x):
+            return state, []
+        return (x,), [] if state is None else [at]
 
-def partition_by_predicate(df: DataFrame, order: Sequence[str | Column], value: str, same: Callable[[object, object], bool], name: str = "_run") -> DataFrame:
-    """Runs of values that a Python predicate calls the same as the run's first.
+    return step
 
-    Such a predicate need not be transitive, so where a run ends depends on all
-    before it: one task folds over the positions and values.
-    """
-    d = with_pos(df, order)
 
-    def fold(rows):
-        rows = rows.sort_values(POS)
-        return rows.assign(**{name: predicate_runs(rows["x"], same)})[[POS, name]]
+def predicate_runs(values: Sequence[Any], same: Callable[[object, object], bool]) -> list[int]:
+    """The run of each value of a list."""
+    return _folded(values, predicate_step(same), None)
 
-    folded = d.select(POS, F.col(value).alias("x"), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(fold, f"{POS} long, {name} long")
-    return d.join(folded, POS)
+
+def partition_by_predicate(df: DataFrame, order: Sequence[str | Column], value: str, same: Callable[[object, object], bool], name: str = "_run") -> DataFrame:
+    """Runs of values that a Python predicate (not transitive, maybe) calls the same as the run's first."""
+    return _numbered(*marked(df, order, value, predicate_step(same), None), name)
 
 
 def add_constant(df: DataFrame, order: Sequence[str | Column], at: int, count: int, values: dict[str, Column]) -> DataFrame:

@@ -113,7 +113,7 @@ def lsummary(spark, d):
     return R.reduce_all(read(spark, d, "orders"), {k: (v, c("o_custkey")) for k, v in r.items()})
 
 
-@query(f"""SELECT 'NaN'::DOUBLE AS "max", 'NaN'::DOUBLE AS "min", count(v) AS n_elems, avg(v) AS mean, sum(v) AS "sum" FROM ({NAN_SQL})""")
+@query(f"""SELECT CASE WHEN bool_or(isnan(v)) THEN 'NaN'::DOUBLE ELSE max(v) END AS "max", CASE WHEN bool_or(isnan(v)) THEN 'NaN'::DOUBLE ELSE min(v) END AS "min", count(v) AS n_elems, avg(v) AS mean, sum(v) AS "sum" FROM ({NAN_SQL})""")
 def dsummary(spark, d):
     return R.reduce_all(with_nan(read(spark, d, "events")), {k: (v, c("v")) for k, v in R.dsummary().items()})
 
@@ -357,11 +357,10 @@ def map_last_wins(spark, d):
 
 
 def _sets(spark, d) -> tuple[DataFrame, DataFrame]:
-    a = read(spark, d, "orders").filter("o_orderkey % 3 = 0").select(c("o_custkey").alias("k"))
-    return a, read(spark, d, "orders").filter("o_orderkey % 5 = 0").select(c("o_custkey").alias("k"))
+    return read(spark, d, "orders").select(c("o_custkey").alias("k")), read(spark, d, "customer").select((c("c_custkey") + c("c_nationkey")).alias("k"))
 
 
-SETS = "WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 5 = 0) "
+SETS = "WITH a AS (SELECT o_custkey AS k FROM orders), b AS (SELECT c_custkey + c_nationkey AS k FROM customer) "
 
 
 @query(SETS + "SELECT k FROM a UNION SELECT k FROM b")
@@ -384,9 +383,9 @@ def set_xor(spark, d):
     return M.set_xor(*_sets(spark, d))
 
 
-@query(SETS + "SELECT k FROM a INTERSECT SELECT k FROM b INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 12")
+@query(SETS + "SELECT k FROM a INTERSECT SELECT k FROM b INTERSECT SELECT l_partkey FROM lineitem")
 def intersect_sets(spark, d):
-    return M.intersect_sets(*_sets(spark, d), read(spark, d, "customer").filter("c_nationkey < 12").select(c("c_custkey").alias("k")))
+    return M.intersect_sets(*_sets(spark, d), read(spark, d, "lineitem").select(c("l_partkey").alias("k")))
 
 
 @query("""SELECT count(DISTINCT n_nationkey) FILTER (WHERE n_nationkey >= 3 AND n_nationkey < 9) = 6 AS a, bool_or(n_nationkey >= 24 AND n_nationkey < 40) AS b,
@@ -556,7 +555,13 @@ def take_while(spark, d):
     return S.take_while(read(spark, d, "orders"), c("o_orderkey"), c("o_totalprice") <= 200000).select("o_orderkey")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT doc_id, n_chars AS c, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents),
+f(p, total, mark, after, begins) AS (SELECT -1::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT UNION ALL
+  SELECT p, CASE WHEN total >= 20000 THEN total - coalesce(mark, total) ELSE total END, CASE WHEN total < 20000 THEN mark END, CASE WHEN total < 20000 THEN after END,
+    CASE WHEN total >= 20000 THEN coalesce(after, p + 1) END
+  FROM (SELECT r.p, f.total + r.c AS total, CASE WHEN f.mark IS NULL AND f.total + r.c >= 10000 THEN f.total + r.c ELSE f.mark END AS mark,
+    CASE WHEN f.mark IS NULL AND f.total + r.c >= 10000 THEN r.p + 1 ELSE f.after END AS after FROM f JOIN r ON r.p = f.p + 1))
+SELECT doc_id, (SELECT count(*) FROM f WHERE begins <= r.p) AS _batch FROM r""")
 def partition_by_cost(spark, d):
     return S.partition_by_cost(read(spark, d, "documents").select("doc_id", "n_chars"), ["doc_id"], "n_chars", 20_000).select("doc_id", "_batch")
 
@@ -570,6 +575,18 @@ def preduce_custom(spark, d):
     return spark.createDataFrame([r.reduce(read(spark, d, "lineitem").select("l_quantity"))], "s double, n long")
 
 
+@query("SELECT string_agg(n_name, '/' ORDER BY n_nationkey DESC) AS s, count(*) AS n, (SELECT string_agg(o_orderkey, ',' ORDER BY o_totalprice, o_orderkey) FROM orders) AS keys, 1 AS none FROM nation")
+def preduce_ordered(spark, d):
+    """A merge that doesn't commute, over rows in an order; and the initial value of no rows."""
+    text = R.FunctionReducer(tuple, lambda a, x: (*a, x[0]), lambda a, b: a + b, lambda a: "/".join(a))
+    names = read(spark, d, "nation").select("n_name", "n_nationkey").repartition(7)
+    keys = R.FunctionReducer(list, lambda a, x: a.append(str(x[0])) or a, lambda a, b: a + b, lambda a: ",".join(a))
+    orders = read(spark, d, "orders").select("o_orderkey", "o_totalprice").repartition(5)
+    none = R.FunctionReducer(lambda: 1, lambda a, x: a + x[0], lambda a, b: a + b).reduce(names.filter("false").select("n_nationkey"))
+    row = (text.reduce(names, [c("n_nationkey").desc()]), names.count(), keys.reduce(orders, ["o_totalprice", "o_orderkey"]), none)
+    return spark.createDataFrame([row], "s string, n long, keys string, none int")
+
+
 @query("SELECT round(sum(l_quantity), 2) AS s FROM lineitem")
 def unmerged_partials(spark, d):
     r = R.FunctionReducer(lambda: 0.0, lambda a, x: a + x.l_quantity, lambda a, b: a + b)
@@ -662,7 +679,10 @@ def take_while_rest(spark, d):
     return S.split_while(read(spark, d, "orders"), c("o_orderkey"), c("o_totalprice") <= 200000)[1].select("o_orderkey")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT p_partkey, p_size AS x, row_number() OVER (ORDER BY p_partkey) - 1 AS p FROM part),
+f(p, head, run) AS (SELECT p, x, 0::BIGINT FROM r WHERE p = 0 UNION ALL
+  SELECT r.p, CASE WHEN abs(f.head - r.x) <= 10 THEN f.head ELSE r.x END, CASE WHEN abs(f.head - r.x) <= 10 THEN f.run ELSE f.run + 1 END FROM f JOIN r ON r.p = f.p + 1)
+SELECT p_partkey, run AS _run FROM f JOIN r ON r.p = f.p""")
 def partition_by_predicate(spark, d):
     return S.partition_by_predicate(read(spark, d, "part").select("p_partkey", "p_size"), ["p_partkey"], "p_size", lambda a, b: abs(a - b) <= 10).select("p_partkey", "_run")
 

@@ -243,3 +243,28 @@ def test_positions_of_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(S, "FEW_PARTITIONS", 1)
     d = S.with_pos(numbers(spark, 5000, 6), ["v"])
     assert d.columns == ["v", "_pos"] and values(d, "_pos") == values(d) == list(range(5000))
+
+
+def test_folds_over_partitions(spark):
+    """Batches by cost and runs by a predicate, over many partitions, as a fold over a list gives them."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0, 1, 1, 2, 5, 40])) for i in range(3000)]
+    values = [x for _, x in rows]
+    df = spark.createDataFrame(rows, "k long, x long").repartition(9)
+    for most in (4, 50, 10**9):
+        got = [r._batch for r in S.partition_by_cost(df, ["k"], "x", most).orderBy("k").collect()]
+        assert got == S.cost_batches(values, most)
+    for near in (0, 1, 3):
+        same = lambda a, b, near=near: abs(a - b) <= near
+        got = [r._run for r in S.partition_by_predicate(df, ["k"], "x", same).orderBy("k").collect()]
+        assert got == S.predicate_runs(values, same)
+    assert S.partition_by_cost(df.filter("false"), ["k"], "x", 4).count() == 0
+
+
+def test_ordered_reduce(spark):
+    """Merges that don't commute: many partitions, through several levels; the initial value without rows."""
+    text = R.FunctionReducer(str, lambda a, x: a + str(x.id % 10), lambda a, b: a + b)
+    df = spark.range(0, 1000, 1, 200)
+    assert text.reduce(df) == "".join(str(i % 10) for i in range(1000)) == "".join(text.partials(df))
+    assert text.reduce(df.repartition(30), [F.col("id").desc()]) == "".join(str(i % 10) for i in reversed(range(1000)))
+    assert R.FunctionReducer(lambda: 1, lambda a, x: a + x.id, lambda a, b: a + b).reduce(df.filter("false")) == 1

@@ -115,6 +115,31 @@ def test_quality_threshold(spark):
     assert {(r.score, r.kept) for r in quality_rules.report(docs, *quality_rules.fitted(docs, odd)).collect()} == {(0.0, False)}
 
 
+def test_quality_threshold_table(spark):
+    """The threshold over a table is that of the list, with ties, one label, nulls and gaps of one unit."""
+    rng = random.Random(7)
+    few = [[], [(1.0, 1)], [(1.0, 1), (None, 0)], [(1.0, 1), (1.0, 0)], [(1.0, 0), (math.nextafter(1.0, 2), 1)], [(-2.0, 1), (3.0, 0)]]
+    some = [[(rng.randrange(8) / 4 - 1, rng.randrange(2)) for _ in range(rng.randrange(2, 16))] for _ in range(4)]
+    many = [(rng.gauss(0.3 * (y := rng.randrange(2)), 0.2), y) for _ in range(3000)]
+    for rows in [*few, *some, many]:
+        got = quality_rules.split_point_of(spark.createDataFrame(rows, "score double, y int").repartition(5))
+        assert got == quality_rules.split_point([r for r in rows if r[0] is not None]), rows[:20]
+
+
+def test_quality_fits_all(spark):
+    """All labelled rows outside the target fit the threshold, however many there are."""
+    rng = random.Random(5)
+    ids = [k for k in range(60_000) if zlib.crc32(str(k).encode()) % quality_rules.FOLDS == 0][:10_000]
+    text = lambda n: " ".join(f"{'a' if i < n else 'b'}{rng.randrange(90)}" for i in range(20))
+    rows = [(k, text(n := rng.randrange(21)), int(rng.random() * 20 < n)) for k in ids]
+    target = [(k, text(20), 1) for k in range(60_000, 60_400) if zlib.crc32(str(k).encode()) % quality_rules.FOLDS]
+    docs = spark.createDataFrame(rows + target, "doc_id long, text string, quality int").cache()
+    found, threshold = quality_rules.fitted(docs, docs)
+    held = {k: y for k, _, y in rows}
+    scores = [(r.score, held[r.doc_id]) for r in quality_rules.report(docs, found, 0.0).collect() if r.doc_id in held and not r.base_failed]
+    assert len(scores) == len(rows) and threshold == quality_rules.split_point(scores)
+
+
 def test_quality_columns(spark):
     """Columns with the names of inner ones pass through; of two of a name in other letters, too."""
     docs = spark.createDataFrame([(1, "a b " * 30, 1, 2, 3, 4)], "doc_id long, text string, _words int, _table int, row int, m int")

@@ -225,12 +225,15 @@ def kept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def _dense(found: Column, buckets: int) -> Column:
-    """The values of sorted (b, r) entries by bucket, with 0 between them."""
-    n = F.size(found)
+    """The values of sorted (b, r) entries by bucket, with 0 between them.
+
+    The last gap follows from the entries even where there are none: a gap of a fixed length would be folded
+    into a literal of that many numbers, which every text of the plan then spells out.
+    """
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(found, i - 1)["b"])
     gap = lambda k: F.array_repeat(F.lit(0.0), k)
     parts = F.flatten(F.transform(found, lambda x, i: F.concat(gap(x["b"] - before(i) - 1), F.array(x["r"]))))
-    return F.when(n > 0, F.concat(parts, gap(F.lit(buckets - 1) - F.get(found, n - 1)["b"]))).otherwise(gap(F.lit(buckets)))
+    return F.concat(parts, gap(F.lit(buckets - 1) - F.coalesce(F.get(found, F.size(found) - 1)["b"], F.lit(-1))))
 
 
 def report(docs: DataFrame, found: DataFrame, threshold: float, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:

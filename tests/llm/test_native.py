@@ -140,6 +140,15 @@ def test_quality_fits_all(spark):
     assert len(scores) == len(rows) and threshold == quality_rules.split_point(scores)
 
 
+def test_quality_dense(spark):
+    """The table of ratios by bucket, and a plan that spells out none of its numbers on the driver."""
+    entries = spark.createDataFrame([([],), ([(0, 1.0), (3, 2.0)],), ([(5, 3.0)],)], "e array<struct<b:int,r:double>>").checkpoint()
+    got = [r.d for r in entries.select(quality_rules._dense(F.col("e"), 6).alias("d")).collect()]
+    assert got == [[0.0] * 6, [1.0, 0.0, 0.0, 2.0, 0.0, 0.0], [0.0] * 5 + [3.0]]
+    plan = entries.select(quality_rules._dense(F.col("e"), quality_rules.BUCKETS))._jdf.queryExecution().toString()
+    assert len(plan) < 100_000
+
+
 def test_quality_columns(spark):
     """Columns with the names of inner ones pass through; of two of a name in other letters, too."""
     docs = spark.createDataFrame([(1, "a b " * 30, 1, 2, 3, 4)], "doc_id long, text string, _words int, _table int, row int, m int")

@@ -1,6 +1,10 @@
+import random
+import zlib
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from foldspark.llm import quality_rules
 from tests.llm.test_native import counts, line_brute
 from tests.llm.test_ngram_jaccard import brute
 
@@ -61,3 +65,19 @@ def test_odd_rows(spark, sf_dir):
         assert out.columns == docs.columns and all(tuple(r)[5:] == tuple(range(10)) for r in out.collect())
         assert stage(spark, docs.filter("false"), sf_dir).count() == 0
     assert corpus_pipeline.encoded(spark, docs, sf_dir).count() == len(rows)
+
+
+def test_quality_fits_all(spark, tmp_path):
+    """The first stage keeps what reaches the threshold of all labelled rows outside the target."""
+    rng = random.Random(5)
+    held = lambda k: zlib.crc32(str(k).encode()) % quality_rules.FOLDS == 0
+    text = lambda n: " ".join(f"{'a' if i < n else 'b'}{rng.randrange(90)}" for i in range(20))
+    rows = [(k, text(n := rng.randrange(21)), int(rng.random() * 20 < n)) for k in [k for k in range(60_000) if held(k)][:10_000]]
+    rows += [(k, text(20), 1) for k in range(60_000, 60_400) if not held(k)]
+    all_rows = spark.createDataFrame(rows, "doc_id long, text string, quality int").cache()
+    all_rows.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, label = all_rows.select("doc_id", "text"), {k: y for k, _, y in rows}
+    table = quality_rules.ratios(docs, all_rows.filter("doc_id >= 60000"))
+    scores = {r.doc_id: r.score for r in quality_rules.report(docs, table, 0.0).collect()}
+    threshold = quality_rules.split_point([(s, label[k]) for k, s in scores.items() if held(k)])
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()} == {k for k, s in scores.items() if s >= threshold}

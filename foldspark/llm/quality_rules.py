@@ -11,10 +11,12 @@ A document's score is the mean ratio of its n-grams; it stays when the score is
 at least the threshold. Nothing is drawn at random: the same document gets the
 same verdict each time.
 
-The threshold is fitted on all labelled rows that the target leaves out (one in
-``FOLDS``, by a check sum of the id). Of the scores that tell most of them apart it is
-the one nearest to ``DEFAULT`` (a tenth of the gap away from the rows on its sides), so
-few rows move it little; without rows of both labels it is ``DEFAULT``.
+The threshold is fitted on all labelled rows that the target leaves out: every row
+labelled as bad, and one in ``FOLDS`` of those labelled as good (by a check sum of the
+id). So each labelled row is used, and none that fits has its words in the target. Of the
+scores that tell most of them apart it is the one nearest to ``DEFAULT`` (a tenth of the
+gap away from the rows on its sides), so few rows move it little; without rows of both
+labels it is ``DEFAULT``.
 
 All of it is DataFrame expressions on the words of a row; only the counts of
 buckets (partial sums of at most ``BUCKETS`` rows a task) and the scores of the rows
@@ -43,7 +45,7 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Buckets, and the parts of an even distribution that each multinomial is mixed with.
 BUCKETS, MIX = 1 << 18, 16.0
 
-#: One labelled row in FOLDS fits the threshold; the threshold where they don't tell.
+#: One row labelled as good in FOLDS fits the threshold, as all others do; the threshold where they don't tell.
 FOLDS, DEFAULT = 4, -0.05
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -138,7 +140,7 @@ def _with_scores(docs: DataFrame, found: DataFrame, text: str, buckets: int) ->
 
 
 def held_out(key: Column) -> Column:
-    """Whether a labelled row fits the threshold and not the target."""
+    """Whether a row labelled as good fits the threshold and not the target."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(FOLDS)) == 0
 
 
@@ -200,7 +202,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     known = labels.select(F.col(f"`{key}`").alias(key), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col(f"`{key}`").isNotNull() & F.col("y").isNotNull())
     known = known.groupBy(key).agg(F.max("y").alias("y"))
     found = ratios(docs, known.filter((F.col("y") > 0) & ~held_out(F.col(key))), key, text, buckets)
-    fit = D.small(known.filter(held_out(F.col(key))).select(F.col(key).alias("id"), "y"))
+    fit = D.small(known.filter((F.col("y") <= 0) | held_out(F.col(key))).select(F.col(key).alias("id"), "y"))
     d = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("txt")).join(fit, "id")
     # rows that share an id count once; a filter on the measures here would be pushed below the join, to all documents
     m = F.col("m")

@@ -140,6 +140,20 @@ def test_quality_fits_all(spark):
     assert len(scores) == len(rows) and threshold == quality_rules.split_point(scores)
 
 
+def test_quality_fits_bad(spark):
+    """Rows labelled as bad fit the threshold in every fold, as the target holds none of them."""
+    fold = lambda k: zlib.crc32(str(k).encode()) % quality_rules.FOLDS
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"{'a' if i < n else 'b'}{rng.randrange(90)}" for i in range(20))
+    rows = [(k, text(n := rng.randrange(21)), int(fold(k) == 0 and rng.random() * 20 < n)) for k in range(800)]
+    docs = spark.createDataFrame(rows + [(k, text(20), 1) for k in range(800, 1200)], "doc_id long, text string, quality int").cache()
+    found, threshold = quality_rules.fitted(docs, docs)
+    label = {r.doc_id: r.quality for r in docs.collect()}
+    scores = [(r.score, label[r.doc_id], fold(r.doc_id)) for r in quality_rules.report(docs, found, 0.0).collect() if not r.base_failed]
+    fit = [(s, y) for s, y, f in scores if f == 0 or not y]
+    assert threshold == quality_rules.split_point(fit) != quality_rules.split_point([(s, y) for s, y, f in scores if f == 0])
+
+
 def test_quality_dense(spark):
     """The table of ratios by bucket, and a plan that spells out none of its numbers on the driver."""
     entries = spark.createDataFrame([([],), ([(0, 1.0), (3, 2.0)],), ([(5, 3.0)],)], "e array<struct<b:int,r:double>>").checkpoint()

@@ -357,8 +357,8 @@ def _verified(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sizes, links): rows (id, n_shingles) of every document, and verified rows (a, b) that connect what the join connects."""
+def families(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(sizes, families): rows (id, n_shingles) of every document, and rows (id, component) of those that verified links connect."""
     D.has_checkpoint_dir(docs.sparkSession)
     rule = Rule(num, den)
     d = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("txt"))
@@ -377,21 +377,26 @@ def links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     is_link = F.col("both") * den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * num
     sure = found.filter("kind = 1").select("a", "b")
     checked = verified(D.saved(found.filter("kind = 3 and a <> b").select("a", "b").distinct()))
-    linked = checked.filter(is_link).select("a", "b").unionByName(sure)
+    linked = _graph.components(checked.filter(is_link).select("a", "b").unionByName(sure))
     # what the stars left open: subsets whose members lie in several components. First each member's likeliest partner, then all that is left
     member = found.filter("kind = 3").select("sig", F.col("a").alias("id")).unionByName(found.filter("kind = 3").select("sig", F.col("b").alias("id"))).distinct()
     shape = found.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"), F.max("b").alias("most"), F.min("h").alias("h"), F.max("h").alias("other"))
     # rows of one id with different sets have no histogram: none of their pairs is left out
     shape = shape.select("id", "least", "most", F.when(F.col("h") == F.col("other"), F.col("h")).alias("h"))
     for nearest in (True, False):
-        known = member.join(_graph.components(linked), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+        known = member.join(linked, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
         mixed = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("sig", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
         known = _in_blocks(known.join(mixed, "sig").join(shape, "id"))
         open_ = known.repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(_open_pairs(rule, nearest), "a long, b long").distinct()
         done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = verified(D.saved(open_.join(done, ["a", "b"], "left_anti")))
+        left = D.saved(open_.join(done, ["a", "b"], "left_anti"))
+        if left.isEmpty():
+            continue
+        more = verified(left)
         checked = checked.unionByName(more)
-        linked = linked.unionByName(more.filter(is_link).select("a", "b"))
+        new = more.filter(is_link).select("a", "b")
+        if not new.isEmpty():  # the components so far stand for their links, so few rounds are left
+            linked = _graph.components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
     return found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles")), linked
 
 
@@ -461,7 +466,7 @@ def _members(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows (key, n_shingles, component_id) of every document."""
-    sizes, found = links(docs, n, num, den, key, text)
-    out = sizes.join(_graph.components(found), "id", "left")
+    sizes, found = families(docs, n, num, den, key, text)
+    out = sizes.join(found, "id", "left")
     null = lambda c: F.nullif(c, F.lit(LAST))
     return out.select(null(F.col("id")).alias(key), "n_shingles", null(F.coalesce("component", "id")).alias("component_id"))

@@ -92,3 +92,13 @@ def test_split_subsets(spark, monkeypatch):
     texts = [t for words, edits in ((60, 5), (25, 3), (200, 30)) for t in near_copies(rng, 90, words, edits)]
     rows = list(enumerate(texts))
     assert run(spark, rows) == brute(rows)
+
+
+def test_few_jobs(spark):
+    """The components are found once; what is settled later joins those so far. Each job costs memory of the driver."""
+    rng = random.Random(3)
+    rows = list(enumerate(t for _ in range(8) for t in near_copies(rng, 6, 40, 2)))
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    before = jobs()
+    assert run(spark, rows) == brute(rows)
+    assert jobs() - before < 100

@@ -4,14 +4,15 @@ A column reducer is an aggregate with a finalizer; any number of them are
 computed in one pass. A function reducer (init, update, merge, finalize) runs
 Python on each row and is the slow path, for what no aggregate expresses. Its
 partial results are merged with their neighbours only, in the order of the rows, so
-``merge`` need not commute. Each partition with rows begins with ``init()``, which
-therefore must be neutral for ``merge``; without rows the result is that of ``init()``.
+``merge`` need not commute. Each partition with rows begins with ``init()``, and begins
+with it again after a state that has grown by about ``block`` bytes; ``init()`` therefore
+must be neutral for ``merge``. Without rows the result is that of ``init()``.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from foldspark.functions.casts import without_nan
 
@@ -159,10 +162,48 @@ def frequencies(df: DataFrame, x: Column, name: str = "n") -> DataFrame:
     return df.groupBy(x.alias("k")).agg(F.count("*").alias(name))
 
 
-#: Partial results that one task, or at last the driver, merges.
+#: Partitions whose partial results one task, or at last the driver, merges.
 FAN_IN = 64
 
-_PARTIAL = "part long, state binary"
+#: Bytes by which a pickled state may grow before it goes on unmerged.
+BLOCK = 8 << 20
+
+_PARTIAL = "part long, seq long, state binary"
+
+
+class _NONE:
+    """No state yet. A class, as pickled functions name it and don't copy it."""
+
+
+def _partials(steps: Iterable[tuple[int, int, Callable[[Any], Any]]], block: int) -> Iterator[pa.RecordBatch]:
+    """_PARTIAL of steps (part, bytes they read, state before -> state): the states at the end of each run of a part.
+
+    A state is measured after its first step, and again before it can be expected to have grown by ``block`` bytes; by more
+    than half of them, it goes on, and the next step begins anew. So a task holds no more for more steps: what two
+    steps make, or one and a block; and a state that keeps its size, small or large, stays one.
+    """
+    at, seq, state, read, due, first = -1, 0, _NONE, 0, 0.0, None
+
+    def batch(held: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([seq], pa.int64()), pa.array([held], pa.binary())], names=["part", "seq", "state"])
+
+    for part, size, step in steps:
+        if part != at:
+            if state is not _NONE:
+                yield batch(pickle.dumps(state))
+            at, seq, state, read, due, first = part, 0, _NONE, 0, 0.0, None
+        state = step(state)
+        read += size
+        if read >= due:
+            held = pickle.dumps(state)
+            first = len(held) if first is None else first
+            if len(held) - first > block // 2:
+                yield batch(held)
+                seq, state, read, due, first = seq + 1, _NONE, 0, 0.0, None
+            else:
+                due = min(read + max(block, len(held)), read * max(2.0, block / len(held)))
+    if state is not _NONE:
+        yield batch(pickle.dumps(state))
 
 
 @dataclass(frozen=True)
@@ -173,50 +214,86 @@ class FunctionReducer:
     update: Callable[[Any, Any], Any]
     merge: Callable[[Any, Any], Any]
     finalize: Callable[[Any], Any] = field(default=lambda x: x)
+    block: int = BLOCK
 
     def folded(self, df: DataFrame, order: Sequence[str | Column] | None = None) -> DataFrame:
-        """(part, state): the pickled state of each partition that has rows; part counts in the order of the rows.
+        """(part, seq, state): the pickled states of each partition that has rows; part and seq count in the order of the rows.
 
-        With ``order`` the rows are first sorted by ranges of it; without, they come as the frame has them.
+        A partition has one state, or more where it grows. With ``order`` the rows are first sorted by ranges of it;
+        without, they come as the frame has them.
         """
-        init, update, names = self.init, self.update, df.columns
+        init, update, block, names = self.init, self.update, self.block, df.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row, state, some = Row(*names), None, False
-            for batch in batches:
-                for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    state, some = update(state if some else init(), row(*values)), True
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], names=["part", "state"])
+            row, part = Row(*names), TaskContext.get().partitionId()
+
+            def step(batch: pa.RecordBatch) -> Callable[[Any], Any]:
+                def over(state: Any) -> Any:
+                    state = init() if state is _NONE else state
+                    for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        state = update(state, row(*values))
+                    return state
+
+                return over
+
+            yield from _partials(((part, b.nbytes, step(b)) for b in batches if b.num_rows), block)
 
         return (df if order is None else df.orderBy(*order)).mapInArrow(run, _PARTIAL)
 
-    def reduce(self, df: DataFrame, order: Sequence[str | Column] | None = None) -> Any:
-        """Over the rows: neighbours merge in tasks, FAN_IN at a time, until the driver gets at most that many."""
-        merge = self.merge
+    def _then(self, held: Any) -> Callable[[Any], Any]:
+        """The step that merges a pickled state into the one before."""
+        return lambda state: pickle.loads(held) if state is _NONE else self.merge(state, pickle.loads(held))
 
-        def merged(group: pa.Table) -> pa.Table:
-            states = sorted(zip(group.column("part").to_pylist(), group.column("state").to_pylist(), strict=True))
-            out = pickle.loads(states[0][1])
-            for _, state in states[1:]:
-                out = merge(out, pickle.loads(state))
-            return pa.table({"part": pa.array([states[0][0] // FAN_IN], pa.int64()), "state": pa.array([pickle.dumps(out)], pa.binary())})
+    def merged(self, df: DataFrame, order: Sequence[str | Column] | None = None) -> DataFrame:
+        """(part, seq, state) of neighbours merged in tasks, FAN_IN partitions at a time, until at most that many are left.
+
+        States come to a task in batches, in their order. Those that grow by it are merged by twos at most, so that there
+        may be more of them, not larger ones for more partitions.
+        """
+        block, then = self.block, self._then
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            states = ((p // FAN_IN, s) for b in batches for p, s in zip(b.column(0).to_pylist(), b.column(2), strict=True))
+            yield from _partials(((p, len(s.as_buffer()), then(s.as_buffer())) for p, s in states), block)
 
         found = self.folded(df, order)
         # a sort by ranges makes at most as many partitions as a shuffle has
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if order is not None else df.rdd.getNumPartitions()
         while parts > FAN_IN:
-            found = found.groupBy(F.floor(F.col("part") / FAN_IN).alias("group")).applyInArrow(merged, _PARTIAL)
             parts = -(-parts // FAN_IN)
-        states = sorted((r.part, r.state) for r in found.collect())
-        if not states:
-            return self.finalize(self.init())
-        out = pickle.loads(states[0][1])
-        for _, state in states[1:]:
-            out = merge(out, pickle.loads(state))
-        return self.finalize(out)
+            found = found.repartition(parts, F.floor(F.col("part") / FAN_IN)).sortWithinPartitions("part", "seq").mapInArrow(run, _PARTIAL)
+        return found
+
+    def reduce(self, df: DataFrame, order: Sequence[str | Column] | None = None) -> Any:
+        """Over the rows, on the driver: it gets the merged states and makes one of them. A large one is for ``reduced``."""
+        out = _NONE
+        for _, _, state in sorted((r.part, r.seq, r.state) for r in self.merged(df, order).collect()):
+            out = self._then(state)(out)
+        return self.finalize(self.init() if out is _NONE else out)
+
+    def reduced(self, df: DataFrame, schema: str, order: Sequence[str | Column] | None = None) -> DataFrame:
+        """One row, whose one column is the result; none of it goes through the driver.
+
+        A task gets the merged states in batches and holds the one that it makes of them, and its result: a value in a
+        row, of at most 2 GB in Spark.
+        """
+        init, finalize, then, kinds = self.init, self.finalize, self._then, to_arrow_schema(StructType.fromDDL(schema))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = _NONE
+            for batch in batches:
+                for state in batch.column(2):
+                    if state.is_valid:
+                        out = then(state.as_buffer())(out)
+            value = finalize(init() if out is _NONE else out)
+            del out
+            yield pa.RecordBatch.from_arrays([pa.array([value], kinds.field(0).type)], schema=kinds)
+
+        # a row without a state, for the task to run where there are no others
+        none = df.sparkSession.range(0, 1, 1, 1).select(F.lit(-1).cast("long").alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("binary").alias("state"))
+        return self.merged(df, order).unionByName(none).repartition(1).sortWithinPartitions("part", "seq").mapInArrow(run, schema)
 
     def partials(self, df: DataFrame, order: Sequence[str | Column] | None = None) -> Iterator[Any]:
         """The unmerged states in the order of the rows, one at a time on the driver."""
-        for r in self.folded(df, order).orderBy("part").toLocalIterator():
+        for r in self.folded(df, order).orderBy("part", "seq").toLocalIterator():
             yield pickle.loads(r.state)

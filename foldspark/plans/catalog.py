@@ -580,11 +580,12 @@ def preduce_ordered(spark, d):
     """A merge that doesn't commute, over rows in an order; and the initial value of no rows."""
     text = R.FunctionReducer(tuple, lambda a, x: (*a, x[0]), lambda a, b: a + b, lambda a: "/".join(a))
     names = read(spark, d, "nation").select("n_name", "n_nationkey").repartition(7)
-    keys = R.FunctionReducer(list, lambda a, x: a.append(str(x[0])) or a, lambda a, b: a + b, lambda a: ",".join(a))
-    orders = read(spark, d, "orders").select("o_orderkey", "o_totalprice").repartition(5)
+    # text grows in place and has a comma before each key; the whole may be large and doesn't pass the driver
+    keys = R.FunctionReducer(bytearray, lambda a, x: a.extend(b",%d" % x[0]) or a, lambda a, b: a.extend(b) or a, lambda a: str(memoryview(a)[1:], "ascii") if a else None)
+    orders = read(spark, d, "orders").filter("o_orderkey is not null").select("o_orderkey", "o_totalprice").repartition(5)
     none = R.FunctionReducer(lambda: 1, lambda a, x: a + x[0], lambda a, b: a + b).reduce(names.filter("false").select("n_nationkey"))
-    row = (text.reduce(names, [c("n_nationkey").desc()]), names.count(), keys.reduce(orders, ["o_totalprice", "o_orderkey"]), none)
-    return spark.createDataFrame([row], "s string, n long, keys string, none int")
+    row = keys.reduced(orders, "keys string", [c("o_totalprice").asc_nulls_last(), "o_orderkey"])
+    return row.select(F.lit(text.reduce(names, [c("n_nationkey").desc()])).alias("s"), F.lit(names.count()).cast("long").alias("n"), "keys", F.lit(none).alias("none"))
 
 
 @query("SELECT round(sum(l_quantity), 2) AS s FROM lineitem")

@@ -36,3 +36,16 @@ def test_query(spark, sf_dir, con, name):
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in want.fetchall()), key=str)
+
+
+@pytest.mark.parametrize("rows", ["", "(3, 2.0), (NULL, 1.0), (12, NULL), (5, 1.0), (4, 1.0), (4, 1.0)"])
+def test_preduce_ordered_odd_orders(spark, sf_dir, tmp_path, rows):
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE nation AS SELECT * FROM '{sf_dir}/nation.parquet'")
+    con.sql("CREATE TABLE orders (o_orderkey BIGINT, o_totalprice DOUBLE)")
+    if rows:
+        con.sql(f"INSERT INTO orders VALUES {rows}")
+    for t in ("nation", "orders"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES["preduce_ordered"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.sql(catalog.SQL["preduce_ordered"]).fetchall()

@@ -268,3 +268,34 @@ def test_ordered_reduce(spark):
     assert text.reduce(df) == "".join(str(i % 10) for i in range(1000)) == "".join(text.partials(df))
     assert text.reduce(df.repartition(30), [F.col("id").desc()]) == "".join(str(i % 10) for i in reversed(range(1000)))
     assert R.FunctionReducer(lambda: 1, lambda a, x: a + x.id, lambda a, b: a + b).reduce(df.filter("false")) == 1
+
+
+def test_large_states(spark):
+    """States that grow with the rows: cut at a block in one partition, merged by batches, and a result that the driver doesn't see."""
+    text = R.FunctionReducer(bytearray, lambda a, x: a.extend(b"%0100d" % x.id) or a, lambda a, b: a.extend(b) or a, bytes)
+    want = b"".join(b"%0100d" % i for i in range(300_000))
+    df = spark.range(0, 300_000, 1, 1)
+    sizes = [r.n for r in text.folded(df).select(F.length("state").alias("n")).collect()]
+    assert max(sizes) <= 12 << 20 < sum(sizes)
+    assert text.reduce(df) == want == b"".join(text.partials(df))
+    small = R.FunctionReducer(text.init, text.update, text.merge, text.finalize, 100_000)
+    for d, order in ((spark.range(0, 300_000, 1, 200), None), (df.repartition(3), ["id"])):
+        states = small.merged(d, order).select("part", F.length("state").alias("n")).collect()
+        # two batches of 10,000 rows are the least that a state may hold
+        assert max(r.n for r in states) <= 2_100_000
+        assert small.reduced(d, "v binary", order).first().v == want
+        assert small.reduce(d, order) == want
+    # a state that is large from the first on, and stays so, is one
+    fixed = R.FunctionReducer(lambda: bytes(200_000), lambda a, x: a, lambda a, b: a, len, 100_000)
+    assert fixed.folded(df).select("part", "seq").collect() == [(0, 0)]
+    assert [tuple(r) for r in fixed.merged(spark.range(0, 1000, 1, 200)).select("part", "seq").orderBy("part").collect()] == [(i, 0) for i in range(4)]
+
+
+def test_reduced(spark):
+    """One row in any case: from many partitions, from none, and null."""
+    r = R.FunctionReducer(lambda: 0, lambda a, x: a + x.id, lambda a, b: a + b, lambda a: a or None)
+    for df in (spark.range(0, 1000, 1, 200), spark.range(0, 1000, 1, 1)):
+        assert r.reduced(df, "n long").collect() == [(499500,)] and r.reduced(df, "n long", ["id"]).collect() == [(499500,)]
+    for order in (None, ["id"]):
+        assert r.reduced(spark.range(10).filter("id > 10"), "n long", order).collect() == [(None,)]
+        assert r.reduced(spark.range(0), "n long", order).collect() == [(None,)]
